@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, packing, simhash, token_files
+from siftwell.llm import bpe, html_text, language, lsh_forest, mtree, packing, simhash, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_mtree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 largest integer inner products of every hundredth vector."""
+    return mtree.top_k(_table(spark, folder, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
     return packing.pack_documents(_table(spark, folder, "documents"))
@@ -29,17 +34,64 @@ def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents"))
 
 
+def op5_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest found of every fiftieth vector."""
+    return lsh_forest.neighbours(_table(spark, folder, "embeddings"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filter.filter_urls(_table(spark, folder, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity score."""
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, folder, "labels")))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's language, by models fitted on the documents."""
+    return language.identify_pages(_table(spark, folder, "pages"), language.fit(_table(spark, folder, "documents")))
+
+
+def op10_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mtree_top_k": op1_mtree_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_files": op3_token_files,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_lsh_forest": op5_lsh_forest,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_html_main_text": op10_html_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mtree_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s
+        QUALIFY rank <= 10
+    """,
+}
