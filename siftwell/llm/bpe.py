@@ -25,19 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.tokens import Chunks, piece_pattern, unusual, vocabulary_path
+from siftwell.llm.tokens import Chunks, byte_letters, piece_pattern, unusual, vocabulary_path
 
 SHORT = 128
 NONE = 1 << 60
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte: itself where printable, else the next from U+0100 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class Bpe(Chunks):
     """Encoder and decoder of a BPE vocabulary whose pieces end with a suffix."""
 
@@ -102,8 +95,8 @@ class Bpe(Chunks):
                     heapq.heappush(heap, (m[0], left, m[1], parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
-    def piece_ids(self, pieces: list[str]) -> list[list[int]]:
-        return [self.merged(p.encode("utf-8", "replace")) for p in pieces]
+    def piece_ids(self, piece: str) -> list[int]:
+        return self.merged(piece.encode("utf-8", "replace"))
 
     def whole_ids(self, text: str) -> list[int]:
         out: list[int] = []

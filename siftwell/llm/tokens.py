@@ -9,13 +9,12 @@ letters beyond Latin, uncommon spaces) go to the library whole.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers, and twice its pieces; about 200 bytes each.
 REMEMBERED = 1_000_000
+#: Fixed value: the pattern of vocabularies that keep contractions, letters, single digits and signs apart.
+LETTERS_NUMBERS_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but common Latin letters, digits, signs and the six ASCII spaces.
 _UNUSUAL = re.compile("[^\t-\r -~¡-ɏ‐-‧‰-⁞₠-₿]")
 
@@ -34,20 +35,34 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key, made once while there is room for ``most`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Chunks:
     """Encodes texts chunk by chunk and remembers chunks and their pieces.
 
     ``pattern`` finds the pieces that are encoded on their own; ``None`` sends
-    every text to ``whole``. Subclasses say how pieces and whole texts are
+    every text to ``whole_ids``. Subclasses say how pieces and whole texts are
     encoded.
     """
 
     def __init__(self, pattern: regex.Pattern | None, special: list[str], remembered: int = REMEMBERED) -> None:
-        self.pattern, self.special, self.remembered = pattern, special, remembered
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pattern, self.special = pattern, special
+        self.pieces = Remembered(self._piece, remembered // 2)
+        self.chunks = Remembered(self._letters_first if pattern is not None and pattern.pattern == LETTERS_NUMBERS_SIGNS else self._chunk, remembered)
 
-    def piece_ids(self, pieces: list[str]) -> list[list[int]]:
+    def piece_ids(self, piece: str) -> list[int]:
         raise NotImplementedError
 
     def whole_ids(self, text: str) -> list[int]:
@@ -55,47 +70,33 @@ class Chunks:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object per text, its ids as little-endian unsigned 32-bit integers; a null text is empty."""
-        out: list[bytes] = [b""] * len(texts)
-        waiting: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
-        size, known = 0, self.chunks.keys()
-        for i, text in enumerate(texts):
+        out, chunk = [], self.chunks.__getitem__
+        for text in texts:
             if not text:
-                continue
-            if self.pattern is None or unusual(text) or any(t in text for t in self.special):
-                out[i] = np.array(self.whole_ids(text), "<u4").tobytes()
-                continue
-            chunks = text.lower().split()
-            waiting.append((i, chunks))
-            new.update(chunks)
-            size += len(chunks)
-            if size > 100_000:
-                self._join(out, waiting, new - known)
-                waiting, new, size = [], set(), 0
-        self._join(out, waiting, new - known)
+                out.append(b"")
+            elif self.pattern is None or unusual(text) or any(t in text for t in self.special):
+                out.append(_packed(self.whole_ids(text)))
+            else:
+                out.append(b"".join(map(chunk, text.lower().split())))
         return out
 
-    def _join(self, out: list[bytes], waiting: list[tuple[int, list[str]]], new: set[str]) -> None:
-        if len(self.chunks) + len(new) > self.remembered:
-            self.chunks.clear()
-            new = {c for _, chunks in waiting for c in chunks}
-        if new:
-            split = {c: self.pattern.findall(c) for c in new}
-            self.learn({p for found in split.values() for p in found if p not in self.pieces})
-            piece = self.pieces.__getitem__
-            self.chunks.update((c, piece(found[0]) if len(found) == 1 else b"".join(map(piece, found))) for c, found in split.items())
-        chunk = self.chunks.__getitem__
-        for i, chunks in waiting:
-            out[i] = b"".join(map(chunk, chunks))
-        if len(self.pieces) > self.remembered // 2:
-            self.pieces.clear()
-
-    def learn(self, new: set[str]) -> None:
-        order = list(new)
-        ids = self.piece_ids(order)
-        ends = list(itertools.accumulate(4 * len(x) for x in ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1] // 4 if ends else 0).tobytes()
-        self.pieces.update((p, flat[a:b]) for p, a, b in zip(order, [0, *ends], ends, strict=False))
+    def _piece(self, piece: str) -> bytes:
+        return _packed(self.piece_ids(piece))
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.pieces[p] for p in self.pattern.findall(chunk)])
+
+    def _letters_first(self, chunk: str) -> bytes:
+        """``_chunk``, with words and words before one sign told without the pattern."""
+        if chunk.isalpha():
+            return self.pieces[chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return self.pieces[chunk[:-1]] + self.pieces[chunk[-1]]
+        return self._chunk(chunk)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder(Chunks):
@@ -103,23 +104,31 @@ class Encoder(Chunks):
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.parts = Tokenizer(self.library.model)
-        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.library.model
+        self.letters = byte_letters()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         super().__init__(piece_pattern(json.loads(self.library.to_str())), special)
 
-    def piece_ids(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.parts.encode_batch_fast(pieces, add_special_tokens=False)]
+    def piece_ids(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return [t.id for t in self.model.tokenize(shown)]
 
     def whole_ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte: itself where printable, else the next from U+0100 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
