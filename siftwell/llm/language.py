@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import kept
+from siftwell.llm.shared import kept, sampled_ids
 
 #: Rows of each language that the trigram models are fitted on, their longest texts, and the most languages.
 SAMPLE, SAMPLE_CHARS, LANGUAGES = 400, 8000, 64
@@ -69,14 +69,17 @@ def train(texts: list[tuple[str, str]]) -> Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Fit on ``docs`` (text, lang): of each of the ``LANGUAGES`` commonest values the rows of least hash.
+    """Fit on ``docs`` (doc_id, text, lang): of each of the ``LANGUAGES`` commonest values the ids of least hash.
 
-    Rows with a null or empty language or text are not learned from.
+    Rows with a null id, or a null or empty language or text, are not learned
+    from. Without any the one language is ``und``.
     """
-    good = docs.select("text", F.lower("lang").alias("lang")).filter("text is not null and lang is not null and lang <> ''").filter(F.length("text") <= SAMPLE_CHARS)
+    good = docs.select(F.col("doc_id").alias("id"), F.lower("lang").alias("lang"), "text").filter("lang is not null and lang <> ''")
     names = [r["lang"] for r in good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    marked = good.withColumn("mark", F.xxhash64("text"))
-    return train([(r["text"], r["lang"]) for n in names for r in marked.filter(F.col("lang") == n).orderBy("mark", "text").limit(SAMPLE).collect()])
+    ids = kept(sampled_ids(good, "id", "lang", dict.fromkeys(names, 2 * SAMPLE)), "sample")  # bounded: twice the sample a language
+    own = good.filter("text is not null").filter(F.length("text") <= SAMPLE_CHARS).select("id", "text")
+    rows = sorted((r["mark"], r["id"], r["class"], r["text"]) for r in own.join(F.broadcast(ids), "id").collect())
+    return train([(r[3], n) for n in names for r in [x for x in rows if x[2] == n][:SAMPLE]])
 
 
 def normal_tag(tag: Column) -> Column:

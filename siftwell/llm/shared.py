@@ -82,3 +82,26 @@ def salted_rank(df: DataFrame, key: str, tie: list[str], rows_per_salt: int = 10
         .withColumn("rank", F.col("_own") + F.col("_shift"))
         .drop("_own", "_shift", "_salt")
     )
+
+
+def sampled_ids(rows: DataFrame, id_col: str, class_col: str, wanted: dict) -> DataFrame:
+    """Rows (id, class, mark): of each class in ``wanted`` up to so many distinct ids, those with the least hash.
+
+    Only the two columns are read. The counts of the classes give each a hash
+    limit that lets about four times the wanted ids through; they are ranked
+    then, so no task sorts a whole class.
+    """
+    from pyspark.sql import Window
+
+    good = rows.select(F.col(id_col).alias("id"), F.col(class_col).alias("class")).filter(F.col("id").isNotNull() & F.col("class").isin(*wanted))
+    counts = {r["class"]: r["count"] for r in good.groupBy("class").count().collect()}  # a row per class
+    limit = F.lit(0)
+    for value, n in wanted.items():
+        share = min(1.0, (4 * n + 100) / max(1, counts.get(value, 0)))
+        limit = F.when(F.col("class") == value, F.lit(int(share * (1 << 40)))).otherwise(limit)
+    marked = good.withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).filter(F.col("mark") < limit).distinct()
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("mark", "id"))
+    most = F.lit(0)
+    for value, n in wanted.items():
+        most = F.when(F.col("class") == value, F.lit(n)).otherwise(most)
+    return marked.withColumn("rank", rank).filter(F.col("rank") <= most).select("id", "class", "mark")
