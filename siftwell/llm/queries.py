@@ -47,7 +47,7 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
-    return url_filter.filter_urls(_table(spark, folder, "pages"))
+    return url_filter.filter_urls(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,6 +79,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_main_text": op10_html_main_text,
 }
 
+
+
+def _url_filter_sql() -> str:
+    """The rules, the host graph and each round of propagation as one WITH query."""
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r.name), r.name))
+    name = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in rules) + " END"
+    own = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in rules) + " END"
+    host = lambda rest: f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    rest = lambda url: f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+    share = lambda v: f"coalesce(avg(CASE WHEN own IS NOT NULL THEN CASE WHEN own = '{v}' THEN 1.0 ELSE 0.0 END END), 0.0)::DOUBLE"
+    d = url_filter.DAMPING
+    steps = [
+        f"""k{i + 1} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+            SELECT host, trust, distrust FROM k0
+            UNION ALL SELECT target, trust * down * {d}, 0.0 FROM edges JOIN k{i} ON host = source
+            UNION ALL SELECT source, 0.0, distrust * up * {d} FROM edges JOIN k{i} ON host = target) GROUP BY host)"""
+        for i in range(url_filter.ROUNDS)
+    ]
+    links = url_filter.LINKS.replace("'", "''")
+    return f"""
+        WITH r AS (SELECT page_id, html, {rest("url")} AS rest FROM pages),
+        h AS (SELECT page_id, html, {host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+        ruled AS MATERIALIZED (SELECT *, {name} AS rule, {own} AS own FROM h),
+        raw AS (SELECT host AS source, unnest(regexp_extract_all(html, '{links}', 1)) AS link FROM h),
+        full_links AS (SELECT source, CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END AS link FROM raw),
+        ends AS (SELECT source, {host(rest("link"))} AS target FROM full_links),
+        links AS MATERIALIZED (SELECT source, target, count(*) AS n FROM ends WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2),
+        edges AS MATERIALIZED (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS down, n / sum(n) OVER (PARTITION BY target) AS up FROM links),
+        seeds AS (SELECT host, {share("allow")} AS trust, {share("block")} AS distrust FROM ruled WHERE host <> '' GROUP BY host),
+        nodes AS (SELECT * FROM seeds UNION ALL SELECT host, 0.0, 0.0 FROM (SELECT source AS host FROM links UNION SELECT target FROM links) WHERE host NOT IN (SELECT host FROM seeds)),
+        k0 AS MATERIALIZED (SELECT host, trust * {1 - d} AS trust, distrust * {1 - d} AS distrust FROM nodes), {", ".join(steps)}
+        SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust - trust > {url_filter.MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
+        FROM ruled LEFT JOIN k{url_filter.ROUNDS} USING (host)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mtree_top_k": """
         WITH v AS (
@@ -94,4 +131,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM s
         QUALIFY rank <= 10
     """,
+    "op7_url_filter": _url_filter_sql(),
 }
