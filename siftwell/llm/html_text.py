@@ -29,10 +29,14 @@ BLOCKS = frozenset(
 )
 NO_TEXT = frozenset("applet audio button canvas datalist embed head iframe map math noembed noframes noscript object option script select style svg template textarea title video".split())
 #: Elements, roles and words of class and id attributes that mark what is not main text.
-ASIDE = frozenset("aside dialog footer form header menu nav search".split())
+ASIDE = frozenset("aside dialog footer form menu nav search".split())
+#: Those that are aside only outside the article, where they hold its title.
+HEADS = frozenset("header hgroup masthead topbar".split())
+#: Words that speak for main text beside one of NAMES.
+MAIN_NAMES = frozenset("article entry main post story".split())
 ROLES = frozenset("banner complementary contentinfo dialog alert form menu menubar navigation search toolbar".split())
 NAMES = frozenset(
-    "ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 #: Elements that an open paragraph does not contain.
 ENDS_P = BLOCKS - {"caption", "dd", "dt", "li", "body", "head", "html", "legend", "summary", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
@@ -46,7 +50,7 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 
 
@@ -57,8 +61,8 @@ class Line:
     holders: tuple[int, ...]  # numbers of the open containers
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
-    if tag in ASIDE:
+def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in ASIDE or tag in HEADS and not in_article:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
@@ -68,10 +72,12 @@ def _is_aside(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and NAMES.intersection(WORD.findall(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and {"comment", "comments"}.intersection(WORD.findall(value)):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            words = set(WORD.findall(value))
+            if words & {"comment", "comments"}:
+                return True
+            if tag != "article" and not words & MAIN_NAMES and (words & NAMES or not in_article and words & HEADS):
+                return True
     return False
 
 
@@ -150,7 +156,7 @@ def lines(page: str) -> tuple[list[Line], dict[int, str]]:
             add(" ")
         if tag in VOID:
             continue
-        aside = tag in NO_TEXT or _is_aside(tag, token[4] or token[7] or "")
+        aside = tag in NO_TEXT or _is_aside(tag, token[4] or token[7] or "", any(t in ("article", "main") for t, _, _ in stack))
         if tag in ("article", "main") and not aside and asides:
             while any(a for _, a, _ in stack):  # an aside that was never closed
                 pop()

@@ -18,6 +18,8 @@ from siftwell.llm import html_text, url_filter
         ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\n\ntwo\n\nx\n\ny"),
         ("<article><p>a <a title='x>y' href=z>link</a> b</article>", "a link b"),
         ("<article><p>cut off <b>here", "cut off here"),
+        ("<header>Site</header><div class='header'>Site</div><article class='post'><header><h1>Title</h1></header><p>Text of the post.</p><div class='post-share'>kept</div><div class=share>x</div></article>", "Title\n\nText of the post.\n\nkept"),
+        ("<article><p>Text.</p></article><article class='comment'><p>" + "bla " * 60 + "</article>", "Text."),
         ("<p>x < y and y > z</p>", "x < y and y > z"),
     ],
 )
