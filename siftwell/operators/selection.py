@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell import schema as S
@@ -96,3 +96,18 @@ def skipped_directories(listings: DataFrame, decisions: DataFrame, skip_below: f
 
 def undecided(listings: DataFrame, decisions: DataFrame) -> DataFrame:
     return listings.join(decisions.select("path"), "path", "left_anti")
+
+
+def in_repositories(files: DataFrame) -> DataFrame:
+    """``files`` with in_repository: some directory above holds a ``.git`` entry of the table.
+
+    ``files`` lists directories too, or files below ``.git``.
+    """
+    roots = files.select(F.explode(paths.ancestors(F.col("path"))).alias("dir")).union(files.select(F.col("path").alias("dir"))).filter(paths.name(F.col("dir")) == ".git").select(paths.parent(F.col("dir")).alias("_up")).distinct()
+    above = files.select("path", F.explode(paths.ancestors(F.col("path"))).alias("_up")).join(roots, "_up", "left_semi").select("path").distinct().withColumn("_in", F.lit(True))
+    return files.join(above, "path", "left").withColumn("in_repository", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def is_synced(path: Column) -> Column:
+    """Whether a path lies in a synchronised cloud folder."""
+    return F.exists(paths.parts(path), lambda p: F.lower(p).startswith("onedrive"))

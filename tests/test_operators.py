@@ -164,3 +164,9 @@ def test_ocr_run_and_counts(spark):
 
 def test_excerpts_never_reach_report_rows(spark, small):
     assert "excerpt" not in outputs.report_csv(adapters.judged(spark, small)).columns
+
+
+def test_repository_and_sync_flags(spark):
+    files = spark.createDataFrame([("/a/.git/config",), ("/a/src/x.py",), ("/b/x.py",), ("/c/OneDrive - me/x.txt",)], "path string")
+    got = {r["path"]: (r["in_repository"], r["synced"]) for r in selection.in_repositories(files).withColumn("synced", selection.is_synced(F.col("path"))).collect()}
+    assert got == {"/a/.git/config": (True, False), "/a/src/x.py": (True, False), "/b/x.py": (False, False), "/c/OneDrive - me/x.txt": (False, True)}
