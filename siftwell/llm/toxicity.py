@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.shared import kept, sampled_ids
+
 SPAN, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 14
@@ -69,7 +71,7 @@ class Features:
         ends = np.cumsum(lengths)
         owner = np.repeat(np.arange(len(words)), lengths)
         left = ends[owner] - np.arange(n)
-        weight = 1 / np.sqrt(2.0 * lengths - 5)[owner]
+        weight = 1 / np.sqrt(np.maximum(1.0, 2.0 * lengths - 5))[owner]
         valid = np.stack((left >= 3, left >= 4)) * weight
         return cls(word, np.stack((three, four)) % CHAR_BUCKETS, valid.astype(np.float32), ends - lengths, owner)
 
@@ -137,10 +139,10 @@ def forward(p: Params, table: np.ndarray, at: np.ndarray, keep: bool = False) ->
     return pooled @ p["out"] + p["out_bias"][0], {"trail": trail, "states": states, "a": a, "alpha": alpha, "pooled": pooled}
 
 
-def backward(p: Params, at: np.ndarray, kept: dict, d: np.ndarray, grads: Params, d_table: np.ndarray) -> None:
+def backward(p: Params, at: np.ndarray, trace: dict, d: np.ndarray, grads: Params, d_table: np.ndarray) -> None:
     """Add the gradients of ``sum(d * logits)``."""
     n, length = at.shape
-    states, a, alpha, pooled = kept["states"], kept["a"], kept["alpha"], kept["pooled"]
+    states, a, alpha, pooled = trace["states"], trace["a"], trace["alpha"], trace["pooled"]
     both = 2 * HIDDEN
     grads["out"] += d @ pooled
     grads["out_bias"] += d.sum()
@@ -154,7 +156,7 @@ def backward(p: Params, at: np.ndarray, kept: dict, d: np.ndarray, grads: Params
     d_states = alpha[..., None] * d_pooled + d_a @ p["attend"].T
     dh = np.zeros((2, n, HIDDEN), np.float32)
     for t in range(length - 1, -1, -1):
-        h, zr, c, uc = kept["trail"][t]
+        h, zr, c, uc = trace["trail"][t]
         z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
         dh = dh + np.stack((d_states[t, :, :HIDDEN], d_states[length - 1 - t, :, HIDDEN:]))
         dc = dh * (1 - z) * (1 - c * c)
@@ -269,8 +271,8 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS, seed:
             grads = {k: np.zeros_like(v) for k, v in p.items()}
             d_table = np.zeros_like(table)
             at = 0
-            for _, ids, out, kept in runs:
-                backward(p, ids, kept, d[at : at + len(out)], grads, d_table)
+            for _, ids, out, trace in runs:
+                backward(p, ids, trace, d[at : at + len(out)], grads, d_table)
                 at += len(out)
             grads["in"] += np.swapaxes(np.broadcast_to(vectors, (2, *vectors.shape)), 1, 2) @ d_table
             grads["in_bias"] += d_table.sum(1, keepdims=True)
@@ -305,16 +307,17 @@ def is_held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model:
     """Train on labelled rows outside the held-out quarter.
 
-    Of each label the ``sample`` rows with the least hash of doc_id are used,
-    among texts of up to ``SAMPLE_CHARS`` characters, so that the driver holds
-    a bounded sample. Rows with null ids, labels or texts are not learned from.
+    Of each label twice the ``sample`` ids with the least hash are looked up,
+    and the first with texts of up to ``SAMPLE_CHARS`` characters are used, so
+    that the driver holds a bounded sample. Rows with null ids, labels or texts are not learned from.
     """
     sample = SAMPLE if sample is None else sample
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~is_held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    own = docs.filter("doc_id is not null and text is not null").filter(F.length("text") <= SAMPLE_CHARS).filter(~is_held_out(F.col("doc_id"))).select("doc_id", "text")
-    joined = own.join(known, "doc_id").withColumn("mark", F.xxhash64("doc_id"))
-    rows = [r for y, n in sample.items() for r in joined.filter(F.col("toxic") == y).orderBy("mark", "doc_id", F.md5("text")).select("text", "toxic").limit(n).collect()]
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    known = labels.filter("doc_id is not null").filter(~is_held_out(F.col("doc_id")))
+    ids = kept(sampled_ids(known, "doc_id", "toxic", {y: 2 * n for y, n in sample.items()}), "sample")  # bounded: twice the sample
+    own = docs.filter("doc_id is not null and text is not null").filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").alias("id"), "text")
+    rows = sorted((r["class"], r["mark"], r["id"], r["text"]) for r in own.join(F.broadcast(ids), "id").collect())
+    picked = [[r for r in rows if r[0] == y][:n] for y, n in sample.items()]
+    return train([r[3] for part in picked for r in part], [r[0] for part in picked for r in part])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
