@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from siftwell import schema as S
 from siftwell.operators import scoring, selection
 from siftwell.plans import stages
+from siftwell.session import ready
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,7 +56,7 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("siftwell").getOrCreate()
-    run = stages.Run(spark, a.run)
+    run = stages.Run(ready(spark), a.run)
     if a.command == "walk":
         stages.walk(run, [a.root, *a.include]).show(truncate=False)
     elif a.command == "estimate":
