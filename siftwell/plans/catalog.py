@@ -493,6 +493,45 @@ def top_per_group(spark: SparkSession, folder: str) -> DataFrame:
     return A.table(spark, folder, "lineitem").withColumn("r", F.row_number().over(best)).filter("r <= 3").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+@_query(f"""
+    WITH {O.FILES} SELECT seq, CASE WHEN size < 1024 THEN size || 'B' ELSE (round_even(size / 1024.0::DOUBLE, 0)::BIGINT) || 'KB' END AS shown FROM files WHERE size < 1000000
+""")
+def format_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return A.files(spark, folder).filter("size < 1000000").select("seq", rules.format_size(F.col("size")).alias("shown"))
+
+
+@_query("""
+    SELECT page_id, regexp_extract(url, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(url, '[^/]*$'), '^.+\\.([^.]+)$', 1)) AS ext FROM pages WHERE url NOT LIKE '%/'
+""")
+def split_names(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.regexp_extract("url", "[^/]*$", 0)
+    return A.table(spark, folder, "pages").filter("url not like '%/'").select("page_id", name.alias("name"), paths.extension(name).alias("ext"))
+
+
+@_query(f"WITH {O.FILES} SELECT seq, substr(path, length('/src1/') + 1) AS below FROM files WHERE starts_with(path, '/src1/')")
+def under_directory(spark: SparkSession, folder: str) -> DataFrame:
+    path, top = F.col("path"), F.lit("/src1")
+    return A.files(spark, folder).filter(paths.is_under(path, top)).select("seq", paths.relative(path, top).alias("below"))
+
+
+@_query(f"WITH {O.LATEST} SELECT {O.spent('coalesce(sum(input_tokens), 0)')} AS spend FROM latest")
+def estimated_spend(spark: SparkSession, folder: str) -> DataFrame:
+    return budget.spend(_latest(spark, folder))
+
+
+@_query(f"WITH {O.DECISIONS} SELECT dir AS path FROM files GROUP BY dir HAVING count(*) >= 10 AND dir NOT IN (SELECT path FROM decisions WHERE worth_scanning >= 0.1)")
+def undecided_directories(spark: SparkSession, folder: str) -> DataFrame:
+    asked = A.files(spark, folder).groupBy(paths.parent(F.col("path")).alias("path")).count().filter(F.col("count") >= S.LISTING_FLOOR)
+    return selection.undecided(asked.select("path"), _decisions(spark, folder).filter("worth_scanning >= 0.1"))
+
+
+@_query(f"WITH {O.FILES} SELECT seq, path FROM files WHERE category = 'binary' OR (ext = 'pdf' AND size > 500) UNION ALL SELECT seq, path FROM files WHERE lang = 'de'")
+def union_of_roots(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _files(spark, folder)
+    first = rows.filter((F.col("category") == "binary") | ((F.col("ext") == "pdf") & (F.col("size") > 500)))
+    return first.unionByName(rows.filter(paths.name(F.col("dir")) == "de")).select("seq", "path")
+
+
 @_query()
 def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.stratified_sample(A.judged(spark, folder), 20).select("bucket", "pick", "path", "value_score")
