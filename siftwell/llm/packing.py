@@ -47,16 +47,19 @@ class Run:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that any packing needs: by volume, and by lengths over half (Martello and Toth's L2)."""
-    total = sum(s * n for s, n in counts.items())
-    best = -(-total // capacity)
-    sizes = sorted(counts)
-    for k in [0, *(s for s in sizes if 2 * s <= capacity)]:
-        large = sum(n for s, n in counts.items() if s > capacity - k)
-        middle = sum(n for s, n in counts.items() if capacity / 2 < s <= capacity - k)
-        room = sum((capacity - s) * n for s, n in counts.items() if capacity / 2 < s <= capacity - k)
-        small = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= capacity)
-        best = max(best, large + middle + max(0, -(-(small - room) // capacity)))
-    return best
+    if not counts:
+        return 0
+    sizes = np.array(sorted(counts), np.int64)
+    number = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    n, volume = np.concatenate(([0], np.cumsum(number))), np.concatenate(([0], np.cumsum(sizes * number)))
+    half = np.searchsorted(sizes, capacity // 2, "right")
+    k = np.concatenate(([0], sizes[:half]))
+    full = np.searchsorted(sizes, capacity - k, "right")  # from here on nothing of length k fits beside
+    middle = n[full] - n[half]
+    room = capacity * middle - (volume[full] - volume[half])
+    small = volume[half] - volume[np.searchsorted(sizes, k)]
+    need = n[-1] - n[full] + middle + np.maximum(0, -(-(small - room) // capacity))
+    return int(max(-(-volume[-1] // capacity), need.max()))
 
 
 def _fullest(room: int, sizes: list[int], counts: dict[int, int]) -> Filling:
@@ -149,44 +152,40 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, budget: int
     best = _descend(counts, capacity)
     need = sum(r.bins for r in best)
     total = sum(s * n for s, n in counts.items())
-    nodes = 0
 
-    def search(left: dict[int, int], runs: list[Run], used: int, waste: int) -> None:
-        nonlocal best, need, nodes
-        if need == least or nodes >= budget:
-            return
-        if not left:
-            if used < need:
-                best, need = list(runs), used
-            return
-        allowed = (need - 1) * capacity - total - waste
-        if allowed < 0 or used + lower_bound(left, capacity) >= need:
+    def branches(left: dict[int, int], used: int, waste: int) -> Iterator[tuple[Run, dict[int, int], int, int]]:
+        """What may follow: a run of the largest length's fillings, the lengths then left, and the sums."""
+        if (need - 1) * capacity - total < waste or used + lower_bound(left, capacity) >= need:
             return
         largest = max(left)
         room = capacity - largest
-        rest = dict(left)
-        rest[largest] -= 1
+        rest = left | {largest: left[largest] - 1}
         sizes = sorted(s for s, n in rest.items() if n and s <= room)
         first = _fullest(room, sizes, rest)
-        options = [first, *(f for f in _fillings(room, sizes, rest, allowed, width) if f != first)]
-        for filling in options:
+        for filling in [first, *(f for f in _fillings(room, sizes, rest, (need - 1) * capacity - total - waste, width) if f != first)]:
             gap = room - sum(s * n for s, n in filling)
-            if gap > allowed:
-                continue
             whole = Counter(dict(filling))
             whole[largest] += 1
             most = min(left[s] // n for s, n in whole.items())
             for bins in dict.fromkeys((most, 1)):
-                nodes += 1
-                if gap * bins > allowed:
-                    continue
-                after = {s: k for s, n in left.items() if (k := n - whole.get(s, 0) * bins)}
-                search(after, [*runs, Run(bins, tuple(sorted(whole.items(), reverse=True)))], used + bins, waste + gap * bins)
-                if need == least or nodes >= budget:
-                    return
-
-    if need > least and len(best) <= 300:
-        search(counts, [], 0, 0)
+                if waste + gap * bins <= (need - 1) * capacity - total:
+                    after = {s: k for s, n in left.items() if (k := n - whole.get(s, 0) * bins)}
+                    yield Run(bins, tuple(sorted(whole.items(), reverse=True))), after, used + bins, waste + gap * bins
+
+    stack, path, nodes = [branches(counts, 0, 0)], [], 0
+    while stack and need > least and nodes < budget:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            del path[len(stack) - 1 :]
+            continue
+        nodes += 1
+        run, left, used, waste = step
+        if left:
+            path.append(run)
+            stack.append(branches(left, used, waste))
+        elif used < need:
+            best, need = [*path, run], used
     return best
 
 
