@@ -32,7 +32,7 @@ CAPACITY = 2048
 #: Fixed value of the contract: the id that ends each document.
 END_ID = 0
 #: Fillings that the search looks at around one largest length, and in all.
-WIDTH, BUDGET = 64, 20_000
+WIDTH, BUDGET = 64, 5_000
 
 Filling = tuple[tuple[int, int], ...]
 
@@ -138,9 +138,9 @@ def _fillings(room: int, sizes: list[int], counts: dict[int, int], allowed: int,
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, budget: int = BUDGET, width: int = WIDTH) -> list[Run]:
     """A packing of the histogram ``counts`` (length: how many) into few sequences.
 
-    The first descent takes the best-fit completion of the largest length each
-    time and is the incumbent; if it needs more than the lower bound, other
-    undominated fillings are tried, up to ``budget`` nodes, and a branch ends
+    The incumbent is the better of best-fit decreasing and of a first descent
+    that takes the best-fit completion of the largest length each time. If it
+    needs more than the lower bound, other undominated fillings are tried, up to ``budget`` nodes, and a branch ends
     when its waste leaves no room for fewer sequences than the incumbent. With
     the budget spent the incumbent is returned: a whole packing, maybe not the
     smallest.
@@ -149,7 +149,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, budget: int
     if any(s < 1 or s > capacity for s in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
     least = lower_bound(counts, capacity)
-    best = _descend(counts, capacity)
+    best = min(_descend(counts, capacity), _best_fit(counts, capacity), key=lambda runs: (sum(r.bins for r in runs), len(runs)))
     need = sum(r.bins for r in best)
     total = sum(s * n for s, n in counts.items())
 
@@ -207,6 +207,40 @@ def _descend(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
+def _best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
+    """Best-fit decreasing over equal sequences at once: each length goes where it leaves the least room."""
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room left: (lengths held, sequences)
+    rooms: list[int] = []
+
+    def put(room: int, held: tuple[int, ...], bins: int) -> None:
+        if room not in groups:
+            groups[room] = []
+            bisect.insort(rooms, room)
+        groups[room].append((held, bins))
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            at = bisect.bisect_left(rooms, size)
+            if at == len(rooms):
+                each = capacity // size
+                if left >= each:
+                    put(capacity - each * size, (size,) * each, left // each)
+                if left % each:
+                    put(capacity - left % each * size, (size,) * (left % each), 1)
+                break
+            room = rooms[at]
+            held, bins = groups[room].pop()
+            taken = min(left, bins)
+            if bins > taken:
+                groups[room].append((held, bins - taken))
+            elif not groups[room]:
+                del groups[room], rooms[at]
+            put(room - size, (*held, size), taken)
+            left -= taken
+    return [Run(bins, tuple(sorted(Counter(held).items(), reverse=True))) for part in groups.values() for held, bins in part]
+
+
 class Plan:
     """Where the piece of a length and rank goes; at most a few thousand rows, kept as arrays."""
 
