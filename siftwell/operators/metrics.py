@@ -8,14 +8,30 @@ from pyspark.sql import functions as F
 from siftwell.functions import rules
 
 
-def average_ranks(rows: DataFrame, value: str, rank: str) -> DataFrame:
-    """``rows`` with the rank of ``value``, equal values sharing their mean rank.
+BUCKETS = 256
+
+
+def rows_below(counts: DataFrame, value: str, number: str = "_n") -> DataFrame:
+    """``counts`` (a row per distinct value and its number of rows) with ``below``: the rows of smaller values.
 
-    Ranks come from one row per distinct value and the counts below it.
+    Values are cut at approximate quantiles into ``BUCKETS`` ranges, which are
+    summed on their own and then shifted by the ranges before.
     """
+    cuts = counts.approxQuantile(value, [i / BUCKETS for i in range(1, BUCKETS)], 0.001)
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    ranged = counts.withColumn("_range", F.size(F.filter(edges, lambda c: c <= F.col(value))))
+    sums = ranged.groupBy("_range").agg(F.sum(number).alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of BUCKETS rows
+    shifts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("_own", F.coalesce(F.sum(number).over(inside), F.lit(0)))
+    return own.join(shifts, "_range").withColumn("below", F.col("_own") + F.col("_shift")).drop("_range", "_own", "_shift")
+
+
+def average_ranks(rows: DataFrame, value: str, rank: str) -> DataFrame:
+    """``rows`` with the rank of ``value``, equal values sharing their mean rank."""
     counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn(rank, F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2.0).drop("_n")
+    ranked = rows_below(counts, value).withColumn(rank, F.col("below") + (F.col("_n") + 1) / 2.0).drop("_n", "below")
     return rows.join(ranked, value)
 
 

@@ -299,10 +299,10 @@ def manifest_inclusion(spark: SparkSession, folder: str) -> DataFrame:
     return A.judged(spark, folder).select("path", rules.verified_label(F.col("extraction_status")).alias("label"), F.coalesce(rules.is_included(), F.lit(False)).alias("included"))
 
 
-@_query(f"WITH {O.JUDGED} SELECT row_number() OVER (ORDER BY lower(dir), lower(split_part(path, '/', 4)), first_seq)::INTEGER AS pos, path FROM latest WHERE {O.included()}")
+@_query(f"WITH {O.JUDGED} SELECT lower(dir) AS dir_key, lower(split_part(path, '/', 4)) AS name_key, path FROM latest WHERE {O.included()} ORDER BY dir_key, name_key, first_seq")
 def copy_list(spark: SparkSession, folder: str) -> DataFrame:
-    rows = outputs.manifest_rows(A.judged(spark, folder))
-    return rows.select(F.row_number().over(Window.orderBy(*ranking.copy_order())).alias("pos"), "path")
+    directory, name, first = ranking.copy_order()
+    return outputs.manifest_rows(A.judged(spark, folder)).orderBy(directory, name, first).select(directory.alias("dir_key"), name.alias("name_key"), "path")
 
 
 @_query(f"""
