@@ -35,8 +35,8 @@ SAMPLE, SAMPLE_CHARS = {1: 800, 0: 1600}, 4000
 STEPS, DOCS_A_STEP, RATE = 350, 48, 0.01
 #: Fixed value of the contract: documents at or over this score are toxic.
 THRESHOLD = 0.3
-#: Words that a worker remembers; about 350 bytes each.
-REMEMBERED = 400_000
+#: Words that a task remembers; about 400 bytes each.
+REMEMBERED = 200_000
 WINDOWS = 2048
 PUNCTUATION = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‚‘’…–—¿¡"
 
@@ -208,7 +208,7 @@ class Model:
             self.words, self.used = {}, 0
             new = list({w for s in split for w in s})
         if self.table is None or self.used + len(new) > self.table.shape[1]:
-            size = max(2 * (self.used + len(new)), 20_000)
+            size = max(self.used + len(new), min(2 * (self.used + len(new)), REMEMBERED))
             grown = np.empty((2, size, 3 * HIDDEN), np.float32)
             if self.used:
                 grown[:, : self.used] = self.table[:, : self.used]
