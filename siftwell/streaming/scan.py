@@ -46,10 +46,10 @@ def run(candidates: DataFrame, judge: scoring.Judge, log_path: str, work_path: s
         return Outcome(stopped=f"canary: {failed}")
     live = budget.Budget(cap)
     live.record(S.CALL_TOKENS)
-    by_dir = Window.partitionBy("_salt").orderBy("seq")
+    in_salt = Window.partitionBy("_salt").orderBy("seq")
     salted = candidates.withColumn("_salt", F.floor(F.col("seq") / 10_000))
     shifts = salted.groupBy("_salt").agg(F.count(F.lit(1)).alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = salted.withColumn("_own", F.row_number().over(by_dir) - 1).join(shifts, "_salt").withColumn("batch", F.floor((F.col("_own") + F.col("_shift")) / batch_size))
+    placed = salted.withColumn("_own", F.row_number().over(in_salt) - 1).join(shifts, "_salt").withColumn("batch", F.floor((F.col("_own") + F.col("_shift")) / batch_size))
     placed = placed.drop("_salt", "_own", "_n", "_shift")
     placed.write.mode("overwrite").partitionBy("batch").parquet(work_path)
     kept = spark.read.schema(placed.schema).parquet(work_path)  # named: there may be no rows
