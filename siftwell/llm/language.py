@@ -13,7 +13,7 @@ The trigram models are fitted on a bounded sample of rows per language
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,10 +102,20 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("id", "text", "declared", "host").mapInArrow(compute, "id long, declared string, host string, letters boolean, likelihoods array<double>")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
 def _posterior(logs: Column) -> Column:
-    most = F.array_max(logs)
-    parts = F.transform(logs, lambda x: F.exp(x - most))
-    return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
+    def scaled(x: Column) -> Column:
+        return _let(F.array_max(x), lambda most: F.transform(x, lambda v: F.exp(v - most)))
+
+    return _let(_let(logs, scaled), lambda parts: _let(_total(parts), lambda whole: F.transform(parts, lambda v: v / whole)))
 
 
 def fuse(found: DataFrame, languages: list[str]) -> DataFrame:
@@ -137,17 +147,17 @@ def fuse(found: DataFrame, languages: list[str]) -> DataFrame:
     h = hosts.join(d, "domain").select("host", "d", F.array(*[F.col(f"n{i}") for i in range(n)]).alias("n"))
     declared = rows.groupBy("declared").agg(*sums).select("declared", F.array(*[F.col(f"n{i}") for i in range(n)]).alias("c"))
     joined = rows.join(h, "host").join(declared, "declared")
+    # columns of their own, so that none is computed twice
     own = F.when(F.col("letters"), F.col("p")).otherwise(F.array(*[F.lit(0.0)] * n))
-    others = F.zip_with("n", own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    size = F.aggregate(others, F.lit(0.0), lambda a, b: a + b)
-    prior = F.zip_with(others, "d", lambda a, b: F.log((a + WEIGHT * b) / (size + WEIGHT)))
-    seen = F.zip_with("c", own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    all_seen = F.aggregate(seen, F.lit(0.0), lambda a, b: a + b)
+    left = lambda counts: F.zip_with(counts, "own", lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    parts = joined.withColumn("own", own).withColumn("others", left("n")).withColumn("seen", left("c"))
+    prior = _let(_total(F.col("others")), lambda size: F.zip_with("others", "d", lambda a, b: F.log((a + WEIGHT * b) / (size + WEIGHT))))
+    base = F.array(*[F.lit((t + 1.0) / (sum(total) + n)) for t in total])
     # P(declared | language) up to a factor common to all languages
-    said = F.transform(F.arrays_zip(seen.alias("k"), F.array(*[F.lit(t + 1.0) for t in total]).alias("t")), lambda x: F.log((x["k"] + DECLARED_WEIGHT * x["t"] / (sum(total) + n)) / x["t"] * (sum(total) + n) / (all_seen + DECLARED_WEIGHT)))
+    said = _let(_total(F.col("seen")), lambda size: F.zip_with("seen", base, lambda k, t: F.log((k + DECLARED_WEIGHT * t) / (size + DECLARED_WEIGHT) / t)))
     said = F.when(F.col("declared") == "", F.array(*[F.lit(0.0)] * n)).otherwise(said)
     logs = F.zip_with(F.zip_with("likelihoods", prior, lambda a, b: a + b), said, lambda a, b: a + b)
-    final = joined.select("id", "declared", "host", "letters", _posterior(logs).alias("posterior"), "p")
+    final = parts.select("id", "declared", "host", "letters", _posterior(logs).alias("posterior"), "p")
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     text_best = F.array_position("p", F.array_max("p")).cast("int")
     names = F.array(*map(F.lit, languages))
