@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import bpe, html_text, language, lsh_forest, mtree, packing, simhash, token_files, toxicity, url_filter
+from siftwell.llm.shared import spread
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(_table(spark, folder, "documents"))
+
+
 def op1_mtree_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 largest integer inner products of every hundredth vector."""
     return mtree.top_k(_table(spark, folder, "embeddings"))
@@ -21,7 +26,7 @@ def op1_mtree_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
-    return packing.pack_documents(_table(spark, folder, "documents"))
+    return packing.pack_documents(_documents(spark, folder))
 
 
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +36,7 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded."""
-    return bpe.round_trip(_table(spark, folder, "documents"))
+    return bpe.round_trip(_documents(spark, folder))
 
 
 def op5_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +46,7 @@ def op5_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
-    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    found = simhash.near_duplicates(_documents(spark, folder))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -53,7 +58,7 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's toxicity score."""
     docs = _table(spark, folder, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, _table(spark, folder, "labels")))
+    return toxicity.score(spread(docs), toxicity.fit(docs, _table(spark, folder, "labels")))
 
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -60,6 +60,17 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
     return Table(df, kind).df
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read in fewer partitions than the cluster has cores, dealt to all of them.
+
+    For tables of one or two files before work in Python; larger ones are
+    returned as they are. Only for plain reads, whose partitions are known
+    without running anything.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def salted_rank(df: DataFrame, key: str, tie: list[str], rows_per_salt: int = 10_000) -> DataFrame:
     """``df`` with ``rank``: 0, 1, 2, ... within each value of ``key``.
 
