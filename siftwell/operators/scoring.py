@@ -37,14 +37,14 @@ class CallError(Exception):
 
 
 _SIGNS = {
-    "credentials": re.compile(r"passw|secret|api[_-]?key|private key|token|credential|id_rsa|\.pem|\.kdbx", re.IGNORECASE),
-    "personal": re.compile(r"diary|journal|family|letter|birth|address|phone|photo|cv\b|resume", re.IGNORECASE),
-    "financial_legal": re.compile(r"invoice|tax|bank|contract|iban|salary|insurance|agreement|licen[cs]e", re.IGNORECASE),
-    "original_work": re.compile(r"draft|chapter|thesis|\bdef |\bclass |function|novel|song", re.IGNORECASE),
-    "irreplaceable": re.compile(r"original|backup|archive|scan|wedding|memoir", re.IGNORECASE),
+    "credentials": re.compile(r"passw|secret|api[_-]?key|private key|token|credential|id_rsa|\.pem|\.kdbx"),
+    "personal": re.compile(r"diary|journal|family|letter|birth|address|phone|photo|cv\b|resume"),
+    "financial_legal": re.compile(r"invoice|tax|bank|contract|iban|salary|insurance|agreement|licen[cs]e"),
+    "original_work": re.compile(r"draft|chapter|thesis|\bdef |\bclass |function|novel|song"),
+    "irreplaceable": re.compile(r"original|backup|archive|scan|wedding|memoir"),
 }
-_WORTH = re.compile(r"documents|desktop|pictures|projects?|src|notes|home", re.IGNORECASE)
-_NOISE = re.compile(r"cache|vendor|dist|build|logs?|assets|locale", re.IGNORECASE)
+_WORTH = re.compile(r"documents|desktop|pictures|projects?|src|notes|home")
+_NOISE = re.compile(r"cache|vendor|dist|build|logs?|assets|locale")
 
 
 class LocalJudge:
@@ -53,7 +53,7 @@ class LocalJudge:
     def files(self, states: list[dict]) -> list[dict]:
         answers = []
         for state in states:
-            text = f"{state['path']} {state.get('excerpt') or ''}"
+            text = f"{state['path']} {state.get('excerpt') or ''}".lower()
             p = {c: min(0.95, 0.1 + 0.25 * len(sign.findall(text))) for c, sign in _SIGNS.items()}
             value = round(3 * max(p["irreplaceable"], p["personal"], p["financial_legal"], p["original_work"] / 2), 2)
             confidence = 0.4 if state.get("metadata_only") else 0.8
@@ -63,7 +63,8 @@ class LocalJudge:
     def directories(self, states: list[dict]) -> list[dict]:
         answers = []
         for state in states:
-            good, bad = len(_WORTH.findall(state["path"])), len(_NOISE.findall(state["path"]))
+            path = state["path"].lower()
+            good, bad = len(_WORTH.findall(path)), len(_NOISE.findall(path))
             worth = min(0.99, max(0.01, 0.5 + 0.3 * good - 0.48 * bad))
             answers.append({"worth_scanning": worth, "kind": "user_content" if good > bad else "app_state" if bad else "owner_code", "input_tokens": None, "error": None})
         return answers
