@@ -71,7 +71,7 @@ def spread(table: DataFrame) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
-def salted_rank(df: DataFrame, key: str, tie: list[str], rows_per_salt: int = 10_000) -> DataFrame:
+def salted_rank(df: DataFrame, key: str, tie: list[str], rows_per_salt: int = 2_000) -> DataFrame:
     """``df`` with ``rank``: 0, 1, 2, ... within each value of ``key``.
 
     A key may hold most rows, so no task sorts a whole key: rows are dealt by
