@@ -4,8 +4,9 @@ A page becomes a list of lines, one a block element. Lines of menus, headers,
 footers, sidebars, notices, adverts, forms and comments, and text in links,
 count as empty. The text lengths of ``WINDOW`` lines in a row are summed; where
 the sum rises over a threshold the main text begins (a surge), where it falls
-to nothing it ends (a dive). The text between is kept, together with the other
-lines of the element that holds it, so that a short last paragraph stays.
+to nothing it ends (a dive). The text between is kept, however light beside
+other such runs, together with the other lines of the element that holds it,
+so that a short last paragraph stays.
 """
 
 from __future__ import annotations
@@ -202,18 +203,20 @@ def main_text(page: str | None) -> str:
     runs = spans(sizes)
     if not runs:
         return ""
-    weights = [sum(sizes[a:b]) for a, b in runs]
-    runs = [r for r, w in zip(runs, weights, strict=True) if 4 * w >= max(weights)]
     inside = {i for a, b in runs for i in range(a, b)}
-    total = sum(sizes[i] for i in inside)
+    # the element of the heavy runs, and those of the others that do not hold it
+    weights = [sum(sizes[a:b]) for a, b in runs]
+    heavy = [i for (a, b), w in zip(runs, weights, strict=True) if 4 * w >= max(weights) for i in range(a, b)]
+    total = sum(sizes[i] for i in heavy)
     held: Counter[int] = Counter()
-    for i in inside:
+    for i in heavy:
         held.update({n: sizes[i] for n in found[i].holders})
     whole = [n for n, w in held.items() if 5 * w >= 4 * total]
+    semantic = [n for n in whole if tags[n] in ("article", "main")]
+    holders = {max(set.intersection(*(set(found[i].holders) for i in range(a, b))), default=0) for a, b in runs} - set(whole)
     if whole:
-        semantic = [n for n in whole if tags[n] in ("article", "main")]
-        holder = max(semantic or whole)
-        inside |= {i for i, x in enumerate(found) if holder in x.holders and x.text}
+        holders.add(max(semantic or whole))
+    inside |= {i for i, x in enumerate(found) if x.text and not holders.isdisjoint(x.holders)}
     return "\n\n".join(found[i].text for i in sorted(inside) if found[i].text)
 
 

@@ -36,6 +36,15 @@ def test_unmarked_pages_by_surge_and_dive():
     assert html_text.spans([0, 50, 60, 0, 0, 5, 0], 3, 86) == [(1, 3)]
 
 
+def test_a_light_run_is_kept():
+    first, last = "word " * 60, "tail " * 25
+    parts = f"<section><p>{first}<p>{first}</section><div class=ad>Buy</div><section><p>{last}<p><a href=x>More</a></section>"
+    wanted = [first.strip(), first.strip(), last.strip(), "More"]
+    assert html_text.main_text(f"<div id=c>{parts}</div>").split("\n\n") == wanted
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(9)) + "</ul>"
+    assert html_text.main_text(f"<div>{menu}<div>{parts}</div></div>").split("\n\n") == wanted
+
+
 def test_extract_rows(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("text", F.lit("clash"))
     rows = html_text.extract(pages).collect()
