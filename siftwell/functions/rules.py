@@ -157,7 +157,7 @@ def top_category() -> Column:
 def format_size(size: Column) -> Column:
     """1024-steps without decimals: ``12KB``."""
     units = ("B", "KB", "MB", "GB", "TB")
-    text = F.concat(F.format_string("%.0f", size / 1024.0**4), F.lit("TB"))
+    text = F.concat(F.format_string("%.0f", F.bround(size / 1024.0**4, 0)), F.lit("TB"))
     for power in range(3, -1, -1):
         scaled = F.bround(size / 1024.0**power, 0)
         text = F.when(size < 1024.0 ** (power + 1), F.concat(F.format_string("%.0f", scaled), F.lit(units[power]))).otherwise(text)

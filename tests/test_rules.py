@@ -64,6 +64,12 @@ def test_sizes_and_tokens(spark):
     assert tuple(row) == ("512B", "2KB", "5MB", 100, 1, 200, pytest.approx(0.042))
 
 
+def test_sizes_of_every_unit(spark):
+    sizes = [1000000, 5 << 19, 5 << 29, 1 << 40, 5 << 39, 7 << 39, 3 << 50]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long").orderBy("i").select(rules.format_size(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["977KB", "2MB", "2GB", "1TB", "2TB", "4TB", "3072TB"]  # halves to even
+
+
 def test_sniff_gate(spark):
     rows = [("binary", "key", 10), ("binary", "sqlite", 10), ("binary", "", S.SNIFF_CEILING), ("binary", "", S.SNIFF_CEILING + 1), ("text", "txt", 10)]
     got = spark.createDataFrame(rows, "c string, e string, s long").select(rules.is_sniffed(F.col("c"), F.col("e"), F.col("s"))).collect()
