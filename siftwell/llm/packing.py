@@ -32,7 +32,7 @@ CAPACITY = 2048
 #: Fixed value of the contract: the id that ends each document.
 END_ID = 0
 #: Fillings that the search looks at around one largest length, and in all.
-WIDTH, BUDGET = 64, 5_000
+WIDTH, BUDGET = 64, 20_000
 
 Filling = tuple[tuple[int, int], ...]
 
@@ -101,27 +101,34 @@ def _fullest(room: int, sizes: list[int], counts: dict[int, int]) -> Filling:
 
 
 def _fillings(room: int, sizes: list[int], counts: dict[int, int], allowed: int, limit: int) -> list[Filling]:
-    """Undominated fillings of ``room`` with waste up to ``allowed``, least waste first; at most ``limit`` are looked at.
+    """Undominated fillings of ``room`` with waste up to ``allowed``; the first ``limit`` by waste are looked at.
 
     A filling is dominated if a length left over fits into its waste, or could
     take the place of one of its lengths and use more of the room.
     """
     found: list[tuple[int, int, Filling]] = []
-    looked = 0
+    looked, mask, sums, reach = 0, (1 << room + 1) - 1, 1, []
+    for size in sizes:  # bits of the sums that the lengths up to each one reach
+        left, part = min(counts[size], room // size), 1
+        while left:
+            part = min(part, left)
+            sums |= sums << size * part & mask
+            left, part = left - part, 2 * part
+        reach.append(sums)
 
-    def descend(i: int, left: int, chosen: list[tuple[int, int]]) -> None:
+    def descend(i: int, left: int, waste: int, chosen: list[tuple[int, int]]) -> None:
         nonlocal looked
-        if looked >= limit:
-            return
-        while i >= 0 and sizes[i] > left:
-            i -= 1
-        if i < 0:
+        if not left:
             looked += 1
-            if left <= allowed and not dominated(left, dict(chosen)):
-                found.append((left, sum(n for _, n in chosen), tuple(chosen)))
+            if not dominated(waste, dict(chosen)):
+                found.append((waste, sum(n for _, n in chosen), tuple(chosen)))
             return
-        for n in range(min(counts[sizes[i]], left // sizes[i]), -1, -1):
-            descend(i - 1, left - n * sizes[i], [*chosen, (sizes[i], n)] if n else chosen)
+        while i >= 0 and looked < limit and reach[i] >> left & 1:
+            for n in range(min(counts[sizes[i]], left // sizes[i]), 0, -1):
+                rest = left - n * sizes[i]
+                if looked < limit and (not rest or i and reach[i - 1] >> rest & 1):
+                    descend(i - 1, rest, waste, [*chosen, (sizes[i], n)])
+            i -= 1
 
     def dominated(left: int, used: dict[int, int]) -> bool:
         if left == 0:
@@ -131,7 +138,8 @@ def _fillings(room: int, sizes: list[int], counts: dict[int, int], allowed: int,
             return True
         return any(u < s <= u + left for u in used for s in free)
 
-    descend(len(sizes) - 1, room, [])
+    for waste in range(min(allowed, room) + 1):
+        descend(len(sizes) - 1, room - waste, waste, [])
     return [f for _, _, f in sorted(found)]
 
 

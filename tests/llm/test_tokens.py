@@ -162,3 +162,12 @@ def test_sequences_hold_the_ids(spark, library):
     for r in packed.collect():
         ids = [*library.encode({1: "one two three", 2: "four", 3: ""}[r["doc_id"]], add_special_tokens=False).ids, 0]
         assert found[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == ids[r["start"] : r["start"] + r["length"]]
+
+
+def test_fillings_of_least_waste_are_looked_at_first():
+    sizes = list(range(400, 1101))
+    found = packing._fillings(948, sizes, dict.fromkeys(sizes, 1), 500, 64)
+    assert len(found) == 64 and {sum(s * n for s, n in f) for f in found} == {948}
+    assert packing._fillings(10, [3, 4], {3: 2, 4: 1}, 10, 64) == [((4, 1), (3, 2))]
+    assert packing._fillings(2, [], {}, 5, 64) == [()]
+    assert packing.BUDGET == 20_000
