@@ -2,8 +2,8 @@
 
 A word enters as two vectors: an embedding of the word itself and the sum of
 embeddings of its 3- and 4-character pieces, both looked up by hash. Windows of
-``SPAN`` words, each starting ``STRIDE`` after the one before and the last one
-ending with the text, run through a GRU in both directions; attention pools the
+``SPAN`` words, each starting ``STRIDE`` (``SCORE_STRIDE`` in scoring) after the
+one before and the last one ending with the text, run through a GRU in both directions; attention pools the
 states; a linear layer gives the window's logit. Training pools the windows of
 a document by log-sum-exp, scoring takes their maximum, so one toxic sentence
 in a long text is enough.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from siftwell.llm.shared import kept, sampled_ids
 
 SPAN, STRIDE = 32, 24
+#: Scored windows overlap by half, so a passage of up to 17 words stands whole in one.
+SCORE_STRIDE = 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 14
 #: Most rows of each label that training sees, and their longest texts.
@@ -170,18 +172,18 @@ def backward(p: Params, at: np.ndarray, trace: dict, d: np.ndarray, grads: Param
             np.add.at(d_table[k], rows, dx[k])
 
 
-def windows(n: int) -> np.ndarray:
+def windows(n: int, stride: int = STRIDE) -> np.ndarray:
     """Starts of all windows of a text of ``n`` words."""
     if n <= SPAN:
         return np.zeros(1, np.int64)
-    return np.append(np.arange(0, n - SPAN, STRIDE), n - SPAN)
+    return np.append(np.arange(0, n - SPAN, stride), n - SPAN)
 
 
-def _by_length(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(texts: list[np.ndarray], stride: int = STRIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(owner, rows) of equally long windows: all full ones, then those of shorter texts."""
     groups: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
     for i, rows in enumerate(texts):
-        starts, length = windows(len(rows)), min(SPAN, len(rows))
+        starts, length = windows(len(rows), stride), min(SPAN, len(rows))
         owners, parts = groups.setdefault(length, ([], []))
         owners.append(np.full(len(starts), i))
         parts.append(rows[starts[:, None] + np.arange(length)])
@@ -220,7 +222,7 @@ class Model:
             self.used += len(part)
         at = self.words.__getitem__
         out = np.full(len(texts), -np.inf, np.float32)
-        for owners, rows in _by_length([np.fromiter(map(at, s), np.int64, len(s)) for s in split]):
+        for owners, rows in _by_length([np.fromiter(map(at, s), np.int64, len(s)) for s in split], SCORE_STRIDE):
             for k in range(0, len(rows), WINDOWS):
                 np.maximum.at(out, owners[k : k + WINDOWS], forward(self.params, self.table, rows[k : k + WINDOWS])[0])
         return out

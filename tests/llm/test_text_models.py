@@ -73,6 +73,15 @@ def test_every_window_counts_and_batches_do_not_matter(model):
     assert toxicity.windows(100).tolist() == [0, 24, 48, 68] and toxicity.windows(3).tolist() == [0] and toxicity.windows(32).tolist() == [0]
 
 
+def test_a_passage_counts_wherever_it_starts(model):
+    clean, passage = "aeiou lmn rst".split() * 40, "lmn rst zgrub aeiou lmn vexnok rst lmn aeiou qwarl lmn rst zgrub lmn aeiou rst vexnok".split()
+    texts = [" ".join([*clean[:i], *passage, *clean[i:]]) for i in range(len(clean) + 1)]
+    n = len(clean) + len(passage)
+    starts = next(toxicity._by_length([np.arange(n)], toxicity.SCORE_STRIDE))[1][:, 0]
+    assert all(any(s <= i and i + len(passage) <= s + toxicity.SPAN for s in starts) for i in range(len(texts)))
+    assert (model.scores(texts) >= toxicity.THRESHOLD).all()
+
+
 def test_one_label_or_none():
     assert toxicity.train([], []).scores(["x"])[0] < toxicity.THRESHOLD
     assert toxicity.train(["a"], [0]).scores(["x"])[0] < toxicity.THRESHOLD
