@@ -13,18 +13,18 @@ The trigram models are fitted on a bounded sample of rows per language
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.shared import kept, sampled_ids
 
-#: Rows of each language that the trigram models are fitted on, their longest texts, and the most languages.
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 400, 8000, 64
+#: Rows of each language that the trigram models are fitted on, and their longest texts.
+SAMPLE, SAMPLE_CHARS = 400, 8000
 BUCKETS, SMOOTHING = 1 << 15, 0.5
 #: A text's evidence counts as that of this many independent trigrams at most.
 TRIGRAMS = 60.0
@@ -59,27 +59,34 @@ class Model:
         return self.table[at].sum(0, dtype=np.float64) * min(1.0, TRIGRAMS / len(at))
 
 
-def train(texts: list[tuple[str, str]]) -> Model:
-    """Trigram models of (text, language) rows."""
-    languages = sorted({lang for _, lang in texts})
-    counts = np.full((BUCKETS, max(1, len(languages))), SMOOTHING)
+def train(texts: Iterable[tuple[str, str]]) -> Model:
+    """Trigram models of (text, language) rows, which are read once."""
+    counts: dict[str, np.ndarray] = {}
     for text, lang in texts:
-        counts[:, languages.index(lang)] += np.bincount(_trigrams(text), minlength=BUCKETS)
-    return Model(languages or ["und"], np.log(counts / counts.sum(0)).astype(np.float32))
+        if lang not in counts:
+            counts[lang] = np.full(BUCKETS, SMOOTHING)
+        counts[lang] += np.bincount(_trigrams(text), minlength=BUCKETS)
+    languages = sorted(counts)
+    table = np.stack([counts[n] for n in languages] or [np.full(BUCKETS, SMOOTHING)], 1)
+    return Model(languages or ["und"], np.log(table / table.sum(0)).astype(np.float32))
 
 
 def fit(docs: DataFrame) -> Model:
-    """Fit on ``docs`` (doc_id, text, lang): of each of the ``LANGUAGES`` commonest values the ids of least hash.
+    """Fit on ``docs`` (doc_id, text, lang): of each language the ids of least hash.
 
-    Rows with a null id, or a null or empty language or text, are not learned
-    from. Without any the one language is ``und``.
+    Every language found gets a model; tags are reduced to their primary part,
+    other names are lower-cased. Rows with a null id, or a null or empty
+    language or text, are not learned from. Without any the one language is
+    ``und``.
     """
-    good = docs.select(F.col("doc_id").alias("id"), F.lower("lang").alias("lang"), "text").filter("lang is not null and lang <> ''")
-    names = [r["lang"] for r in good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    tag = normal_tag(F.col("lang"))
+    good = docs.select(F.col("doc_id").alias("id"), F.when(tag != "", tag).otherwise(F.lower("lang")).alias("lang"), "text").filter("lang is not null and lang <> ''")
+    names = [r["lang"] for r in good.select("lang").distinct().collect()]
     ids = kept(sampled_ids(good, "id", "lang", dict.fromkeys(names, 2 * SAMPLE)), "sample")  # bounded: twice the sample a language
     own = good.filter("text is not null").filter(F.length("text") <= SAMPLE_CHARS).select("id", "text")
-    rows = sorted((r["mark"], r["id"], r["class"], r["text"]) for r in own.join(F.broadcast(ids), "id").collect())
-    return train([(r[3], n) for n in names for r in [x for x in rows if x[2] == n][:SAMPLE]])
+    first = Window.partitionBy("class").orderBy("mark", "id", "text")
+    rows = own.join(F.broadcast(ids), "id").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE)
+    return train((r["text"], r["class"]) for r in rows.select("text", "class").toLocalIterator())
 
 
 def normal_tag(tag: Column) -> Column:

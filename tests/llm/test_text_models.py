@@ -175,3 +175,9 @@ def test_documents_keep_their_language(spark, small):
     rows = language.identify_documents(docs, language.fit(docs)).collect()
     assert np.mean([r["text_lang"] == r["declared"] for r in rows]) > 0.9
     assert np.mean([r["accepted"] for r in rows]) > 0.95
+
+
+def test_every_language_is_fitted(spark):
+    tags = [f"{a}{b}" for a in "bcdfghjk" for b in "aeiouvwxy"] + ["EN-us", "en_GB", "Esperanto"]
+    docs = spark.createDataFrame([(i, f"{t} words", t) for i, t in enumerate(tags)], "doc_id long, text string, lang string")
+    assert language.fit(docs).languages == sorted([*tags[:-3], "en", "esperanto"])
