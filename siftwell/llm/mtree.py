@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from siftwell.llm import vectors as V
 
 PAGE, FANOUT = 64, 12
-#: Components beyond this have no place in a long score; such vectors take no part.
-LARGEST = 1 << 28
 
 
 @dataclass
@@ -54,8 +52,7 @@ class MTree:
         norms = np.einsum("ij,ij->i", lifted, lifted)
         self.most = float(norms.max(initial=0))
         self.points = np.concatenate((lifted, np.sqrt(np.maximum(0, self.most - norms))[:, None]), axis=1)
-        # products of whole numbers under 2**53 are exact as doubles, and so are their sums
-        self.exact = lifted if self.most * 4 < 2**53 else whole
+        self.whole, self.lifted = whole, lifted
         self.slack = 4e-7 * (1 + self.most**0.5)
         self.computed = self.skipped = 0
         self.rng = np.random.default_rng(11)
@@ -88,10 +85,13 @@ class MTree:
         """(rows, products) of all rows whose product is among the k + extra largest values found, ties included."""
         k += extra
         point = np.append(query.astype(np.float64), 0.0)
-        q = query.astype(self.exact.dtype)
         size = float(point @ point)
+        # whole numbers and their sums are exact as doubles under 2**53, as longs under 2**63, and beyond as Python's
+        reach = (size * self.most) ** 0.5
+        kind = np.dtype(np.float64 if reach < 2**52 else np.int64 if reach < 2**62 else object)
+        exact, q = self.lifted if kind == np.float64 else self.whole, query.astype(kind)
         slack = self.slack + 4e-7 * size**0.5
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0, self.exact.dtype)
+        best_rows, best = np.zeros(0, np.int64), np.zeros(0, kind)
         bound = np.inf
         if self.root is None:
             return best_rows, best.astype(np.int64)
@@ -108,7 +108,7 @@ class MTree:
                 self.computed, self.skipped = self.computed + len(rows), self.skipped + len(node.rows) - len(rows)
                 if not len(rows):
                     continue
-                products = self.exact[rows] @ q
+                products = exact[rows].astype(kind, copy=False) @ q
                 if len(best) >= k:
                     better = products >= best.min()
                     rows, products = rows[better], products[better]
@@ -134,8 +134,13 @@ class MTree:
 
 
 def whole(vector: F.Column) -> F.Column:
-    """floor(1024 x) of each component, as a long."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * 1024).cast("long"))
+    """floor(1024 x) of each component, as a long; one that does not fit fails."""
+
+    def one(x: F.Column) -> F.Column:
+        scaled = x.cast("double") * 1024
+        return F.when(F.abs(scaled) < 2.0**63, F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long"))
+
+    return F.transform(vector, one)
 
 
 def top_k(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -143,12 +148,12 @@ def top_k(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows of another id and the same number of components. Fewer than k
-    candidates are all returned; ties go to smaller ids. Rows with a null id,
-    an unusable vector or a component of ``LARGEST`` or more take no part; an
-    empty table gives no rows. Repeated rows rank once each.
+    candidates are all returned; ties go to smaller ids. Rows with a null id or
+    an unusable vector take no part; an empty table gives no rows. Repeated
+    rows rank once each. A score found that does not fit a long fails.
     """
     good = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("raw")).filter(F.col("vec_id").isNotNull() & V.usable(F.col("raw")))
-    rows = good.select("vec_id", whole(F.col("raw")).alias("vector")).filter(F.forall("vector", lambda x: F.abs(x) < LARGEST))
+    rows = good.select("vec_id", whole(F.col("raw")).alias("vector"))
 
     def run(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = V.Distinct(ids, matrix)

@@ -1,3 +1,4 @@
+import math
 import numpy as np
 import pytest
 
@@ -88,3 +89,15 @@ def test_forest_scores_ties_and_recall(spark, mixed, small):
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in got)
     assert hits / sum(len(v) for v in want.values()) >= 0.9
     assert [i for i, _ in got[1050]] == [7, 1000, 1001, 1002, 1003]  # copies tie to smaller ids
+
+
+def test_large_components_take_part_exactly(spark):
+    vectors = {0: [3e5, 1.0], 1: [4e5, 0.5], 2: [1.0, 2.0], 3: [4e5, 0.25], 100: [2e6, -3.0], 101: [3e6, 1e6], 102: [-3e12, 1.0], 200: [1e-3, 0.0], 300: [0.0, 0.0]}
+    whole = {i: [math.floor(x * 1024) for x in v] for i, v in vectors.items()}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_k(table, k=3).collect())
+    wanted = []
+    for q in (0, 100, 200, 300):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:3])]
+    assert got == wanted
