@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.tokens import Chunks, byte_letters, piece_pattern, unusual, vocabulary_path
+from siftwell.llm.tokens import Chunks, byte_letters, cut, piece_pattern, unusual, vocabulary_path
 
 SHORT = 128
 NONE = 1 << 60
@@ -178,8 +178,6 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     return picked.mapInArrow(compute, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, rows: int = 512) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part.column(0), bpe(path).encode(part.column(1).to_pylist())
+def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    for ids, texts in cut(batches):
+        yield ids, bpe(path).encode(texts)

@@ -31,7 +31,7 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's span and checksum, read back from the token files."""
-    return token_files.write_and_read(spark, _table(spark, folder, "documents"))
+    return token_files.write_and_read(spark, _documents(spark, folder))
 
 
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:

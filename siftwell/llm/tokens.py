@@ -15,16 +15,20 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value of the contracts: the vocabulary file that queries name.
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks that a worker remembers, and twice its pieces; about 200 bytes each.
-REMEMBERED = 1_000_000
+#: Chunks that a worker remembers, and twice its pieces; about 250 bytes each, as longer ones than ``LONG`` are not.
+REMEMBERED, LONG = 400_000, 48
+#: Most rows, and characters about, that are encoded at a time.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 #: Fixed value: the pattern of vocabularies that keep contractions, letters, single digits and signs apart.
 LETTERS_NUMBERS_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but common Latin letters, digits, signs and the six ASCII spaces.
@@ -36,16 +40,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Remembered(dict):
-    """What ``make`` gives for a key, made once while there is room for ``most`` keys."""
+    """What ``make`` gives for a key, made once while there is room for ``most`` keys; long keys are not kept."""
 
     def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -169,9 +175,20 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     return picked.mapInArrow(compute, "doc_id long, ids binary")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], path: str, rows: int = 512) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """Ids of (id, text) batches, a few hundred rows at a time so that long texts don't add up."""
+def blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids of (id, text) batches, some rows at a time."""
+    for ids, texts in cut(batches):
+        yield ids, encoder(path).encode(texts)
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(ids, texts) of (id, text) batches: few rows at a time, and fewer where texts are long, so that they don't add up."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            rows = max(1, min(BLOCK_ROWS, int(np.searchsorted(ends, before + BLOCK_BYTES, "right")) - at))
             part = batch.slice(at, rows)
-            yield part.column(0), encoder(path).encode(part.column(1).to_pylist())
+            yield part.column(0), part.column(1).to_pylist()
+            at += rows

@@ -4,7 +4,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftwell.llm import bpe, packing, token_files, tokens
@@ -68,10 +70,12 @@ def test_codes_are_addressable(bits):
     arrays = [rng.integers(0, 1 << rng.integers(1, 32), n).astype(np.uint32) for n in (0, 1, 7, 5000, 513)]
     file = token_files.TokenFile(token_files.dump([5, None, 7, 8, 9], arrays, bits))
     flat = np.concatenate(arrays)
-    assert file.all_ids().tolist() == flat.tolist() and len(file) == len(flat)
+    assert file.between(0, len(flat)).tolist() == flat.tolist() and len(file) == len(flat)
+    for first, last in rng.integers(0, len(flat) + 1, (300, 2)).tolist():
+        assert file.between(min(first, last), max(first, last)).tolist() == flat[min(first, last) : max(first, last)].tolist()
     for i in [0, 1, 7, 8, 511, 512, 1023, len(flat) - 1, *rng.integers(0, len(flat), 300).tolist()]:
         assert file[i] == flat[i]
-    assert file.document(2) == arrays[2].tolist() and file.doc_ids.tolist() == [5, token_files.NO_ID, 7, 8, 9]
+    assert file.document(2).tolist() == arrays[2].tolist() and file.doc_ids.tolist() == [5, token_files.NO_ID, 7, 8, 9]
     with pytest.raises(IndexError):
         file[len(flat)]
     with pytest.raises(ValueError):
@@ -90,6 +94,28 @@ def test_token_files_hold_every_document_in_order(spark, library, small, monkeyp
     assert token_files.write_and_read(spark, docs.limit(0)).count() == 0
 
 
+def test_a_hot_id_is_written_by_several_tasks(spark, library, monkeypatch):
+    monkeypatch.setattr(token_files, "_ranges", lambda docs: 6)
+    rows = [(7 if i % 2 else i, f"text number {i}") for i in range(400)] + [(None, "x")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash")).withColumn("part", F.lit(0)).repartition(3)
+    manifest = token_files.write(docs, token_files.new_path(spark, "tokens"))
+    assert manifest.count() == 6
+    got = sorted(token_files.read(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    mark = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, token_files.END_ID], "<u4").tobytes())
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((d, mark(t)) for d, t in rows)
+
+
+def test_texts_are_cut_into_blocks_by_rows_and_size():
+    texts = ["a" * 10, None, "", "b" * 5_000_000, "c" * 3_000_000, "d" * 2_000_000] + ["e"] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    blocks = list(tokens.cut(iter([batch.slice(1), batch])))
+    assert [x for ids, _ in blocks for x in ids.to_pylist()] == [*range(1, len(texts)), *range(len(texts))]
+    assert [t for _, part in blocks for t in part] == texts[1:] + texts
+    assert all(len(part) <= tokens.BLOCK_ROWS and (len(part) == 1 or sum(len(t or "") for t in part) <= tokens.BLOCK_BYTES) for _, part in blocks)
+
+
 def brute_bins(items, capacity):
     items = sorted(items, reverse=True)
     best = len(items)
