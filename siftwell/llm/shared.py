@@ -3,15 +3,15 @@
 A plan is cut by writing a Parquet table into the folder that the cluster
 names in ``spark.checkpoint.dir``. Such a table outlives the executors that
 wrote it, is compressed, and unlike ``DataFrame.checkpoint()`` is computed
-once. Where the setting is absent (tests, a laptop) ``/tmp/checkpoints`` is
-used.
+once. Where the setting is absent a local master uses ``/tmp/checkpoints``; any
+other fails, as its executors would not see such a folder.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} see")
         named = LOCAL_FOLDER
     return named.rstrip("/")
 
@@ -71,8 +74,31 @@ def spread(table: DataFrame) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
-def salted_rank(df: DataFrame, key: str, tie: list[str], rows_per_salt: int = 2_000) -> DataFrame:
-    """``df`` with ``rank``: 0, 1, 2, ... within each value of ``key``.
+def row_mark(df: DataFrame) -> Column:
+    """A 64-bit hash of a whole row: the same in every evaluation, so narrow decisions find their row again.
+
+    Rows of one mark are repeated rows. Maps, which have no hash, count as their JSON.
+    """
+    from pyspark.sql.types import MapType
+
+    def part(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        return F.to_json(F.struct(column)) if isinstance(field.dataType, MapType) else column
+
+    # a null hashes as nothing, so its place is hashed too
+    return F.xxhash64(*[x for f in df.schema for x in (part(f), F.col(f"`{f.name}`").isNull())])
+
+
+def free_name(columns: list[str], wish: str) -> str:
+    """``wish``, lengthened until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def salted_rank(df: DataFrame, key: str, tie: list[str], rows_per_salt: int = 2_000, name: str = "rank") -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2, ... within each value of ``key``.
 
     A key may hold most rows, so no task sorts a whole key: rows are dealt by
     (key, salt), numbered there, and shifted by the rows that smaller salts of
@@ -81,18 +107,14 @@ def salted_rank(df: DataFrame, key: str, tie: list[str], rows_per_salt: int = 2_
     """
     from pyspark.sql import Window
 
+    salt, place, shift = (free_name(df.columns, n) for n in ("_salt", "_own", "_shift"))
     salts = max(1, -(-df.count() // rows_per_salt))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(salts)))
-    sizes = dealt.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = Window.partitionBy(key, "_salt").orderBy(*tie)
-    return (
-        dealt.withColumn("_own", F.row_number().over(own) - 1)
-        .join(shifts, [key, "_salt"])
-        .withColumn("rank", F.col("_own") + F.col("_shift"))
-        .drop("_own", "_shift", "_salt")
-    )
+    dealt = df.withColumn(salt, F.pmod(F.xxhash64(*tie), F.lit(salts)))
+    sizes = dealt.groupBy(key, salt).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(key, salt, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(shift))
+    own = Window.partitionBy(key, salt).orderBy(*tie)
+    return dealt.withColumn(place, F.row_number().over(own) - 1).join(shifts, [key, salt]).withColumn(name, F.col(place) + F.col(shift)).drop(place, shift, salt)
 
 
 def sampled_ids(rows: DataFrame, id_col: str, class_col: str, wanted: dict) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import kept
+from siftwell.llm.shared import free_name, kept, row_mark
 
 SEED = 42
 WORDS = 3
@@ -53,16 +53,17 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """Rows (doc_id, fp): ``fp`` holds the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, mark: Column | None = None) -> DataFrame:
+    """Rows (doc_id, mark, fp): ``fp`` holds the fingerprint's bits as a signed long, ``mark`` the column given, a long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "fp"])
+            marks = np.array([fingerprint(x.as_py(), words) for x in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["doc_id", "mark", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(compute, "doc_id long, fp long")
+    mark = F.lit(None).cast("long") if mark is None else mark
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(compute, "doc_id long, mark long, fp long")
 
 
 def _counts(half: Column) -> Column:
@@ -109,21 +110,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never names it; a component of nulls alone has a null id. Repeated rows are
     returned as often as they come. No column but the two named is read.
     """
-    rows = kept(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    return _classes(kept(fingerprints(docs, id_col, text_col, words), "fingerprints"), radius).select("doc_id", "fp", "component_id")
+
+
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows`` (a table of doc_id, mark, fp) with component_id and ``component``, which is never null."""
     marks = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "marks")
     roots = kept(components(links(marks, radius)), "roots")
-    rooted = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    rooted = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("component"))
+    named = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return rows.join(rooted.join(named, "component").select("fp", "component", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: the least doc_id.
+    """``docs`` with one row of each near-duplicate component: that of the least doc_id, then of the least row mark.
 
-    Of rows that repeat a kept id one stays. Rows with a null id can't be told
-    apart by id and stay as they are.
+    Rows that share an id are told apart by all their columns; of rows alike in
+    every column one stays. Rows with a null id stay as they are. The choice is
+    made on narrow rows and joined to the texts once.
     """
-    firsts = near_duplicates(docs, radius=radius, words=words).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    mark, named = free_name(docs.columns, "_mark"), docs.filter("doc_id is not null")
+    rows = kept(fingerprints(named, words=words, mark=row_mark(docs)), "fingerprints")
+    chosen = _classes(rows, radius).groupBy("component").agg(F.min_by("mark", F.struct("doc_id", "mark")).alias(mark)).select(mark)
+    found = named.withColumn(mark, row_mark(docs)).join(chosen, mark, "left_semi").dropDuplicates([mark])
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))

@@ -94,3 +94,11 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] or -1) for r in got.collect()) == [-1, 1, 5]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_loses_no_text_of_its_own(spark):
+    rows = [(3, "some text of the first kind", {"k": 1}, 1), (5, "some text of the first kind", {"k": 1}, 1), (5, "quite another text that is its own", {"k": 2}, 1), (5, "quite another text that is its own", {"k": 2}, 1), (None, "some text of the first kind", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark map<string,int>, fp int")
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted((r[0] or 0, r[1]) for r in got) == [(0, rows[4][1]), (3, rows[0][1]), (5, rows[2][1])]
+    assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in simhash.keep_one(docs.repartition(3)).collect())
