@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import kept, sampled_ids
+from siftwell.llm.shared import free_name, kept, row_mark, sampled_ids
 
 #: Rows of each language that the trigram models are fitted on, and their longest texts.
 SAMPLE, SAMPLE_CHARS = 400, 8000
@@ -191,16 +191,22 @@ def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
 
 def identify_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, lang, confidence, accepted, ...) of documents: ``lang`` is the declaration, ``source`` the host."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", normal_tag(F.col("lang")).alias("declared"), F.coalesce(F.lower("source"), F.lit("")).alias("host"))
-    return fuse(kept(evidence(rows, model), "evidence"), model.languages).withColumnRenamed("id", "doc_id")
+    return _identified(docs, F.col("doc_id").cast("long"), model).withColumnRenamed("id", "doc_id")
+
+
+def _identified(docs: DataFrame, key: Column, model: Model) -> DataFrame:
+    rows = docs.select(key.alias("id"), "text", normal_tag(F.col("lang")).alias("declared"), F.coalesce(F.lower("source"), F.lit("")).alias("host"))
+    return fuse(kept(evidence(rows, model), "evidence"), model.languages)
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the documents that ``identify_documents`` rejects.
+    """``docs`` without the rows that ``identify_documents`` rejects.
 
-    A null id can't be looked up, so such rows stay; of rows that share an id
-    all go if one is rejected. The table of rejected ids is written first, so
-    that the join knows its size.
+    Each row is judged by itself, whatever rows share its id; only rows alike
+    in every column go together. Rows with a null id stay as they are. The
+    table of rejected rows is written first, so that the join knows its size.
     """
-    rejected = kept(identify_documents(docs, model).filter("not accepted and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    mark = free_name(docs.columns, "_mark")
+    key = F.when(F.col("doc_id").isNotNull(), row_mark(docs))
+    rejected = kept(_identified(docs, key, model).filter("not accepted and id is not null").select(F.col("id").alias(mark)).distinct(), "rejected")
+    return docs.withColumn(mark, row_mark(docs)).join(rejected, mark, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

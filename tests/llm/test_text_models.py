@@ -170,6 +170,14 @@ def test_pages_and_documents(spark, tongues):
     assert language.identify_documents(docs.limit(0), tongues).count() == 0
 
 
+def test_rows_of_one_id_are_judged_each(spark, tongues):
+    long = "the cat sat on the mat and then it left " * 30_000
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en", "s", 1), (1, "1234 !!", "en", "s", 2), (2, long, "en", "s", 3)], "doc_id long, text string, lang string, source string, _mark int")
+    got = language.keep_identified(docs, tongues)
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["_mark"]) for r in got.collect()) == [(1, 1), (2, 3)]
+    assert tongues.likelihoods(long).argmax() == tongues.languages.index("en")
+
+
 def test_documents_keep_their_language(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = language.identify_documents(docs, language.fit(docs)).collect()
