@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import kept, salted_rank
+from siftwell.llm.shared import free_name, kept, salted_rank
 from siftwell.llm.tokens import blocks, vocabulary_path
 
 CAPACITY = 2048
@@ -100,7 +100,7 @@ def _fullest(room: int, sizes: list[int], counts: dict[int, int]) -> Filling:
     return tuple(sorted(used.items(), reverse=True))
 
 
-def _fillings(room: int, sizes: list[int], counts: dict[int, int], allowed: int, limit: int) -> list[Filling]:
+def _fillings(room: int, sizes: list[int], counts: dict[int, int], allowed: int, limit: float) -> list[Filling]:
     """Undominated fillings of ``room`` with waste up to ``allowed``; the first ``limit`` by waste are looked at.
 
     A filling is dominated if a length left over fits into its waste, or could
@@ -143,9 +143,12 @@ def _fillings(room: int, sizes: list[int], counts: dict[int, int], allowed: int,
     return [f for _, _, f in sorted(found)]
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, budget: int = BUDGET, width: int = WIDTH) -> list[Run]:
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, budget: int | None = BUDGET, width: int | None = WIDTH) -> list[Run]:
     """A packing of the histogram ``counts`` (length: how many) into few sequences.
 
+    With ``budget`` and ``width`` None the search goes on until the packing is
+    proved smallest, however long that takes.
+
     The incumbent is the better of best-fit decreasing and of a first descent
     that takes the best-fit completion of the largest length each time. If it
     needs more than the lower bound, other undominated fillings are tried, up to ``budget`` nodes, and a branch ends
@@ -153,6 +156,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, budget: int
     the budget spent the incumbent is returned: a whole packing, maybe not the
     smallest.
     """
+    budget, width = (float("inf") if x is None else x for x in (budget, width))
     counts = {int(s): int(n) for s, n in counts.items() if n}
     if any(s < 1 or s > capacity for s in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
@@ -279,7 +283,9 @@ class Plan:
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32) of each document's ids and the end id.
+    """Rows (doc_id, piece, start, length, ids_crc32, row) of each document's ids and the end id.
+
+    ``row`` numbers rows by task and place, so that it tells repeated rows apart.
 
     A null or empty text is the end id alone. Documents of over ``capacity``
     ids are cut into pieces of that many; the last may be shorter.
@@ -287,46 +293,60 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
     path = path or vocabulary_path()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        from pyspark import TaskContext
+
+        end, width, number = np.array([END_ID], "<u4").tobytes(), 4 * capacity, TaskContext.get().partitionId() << 40
         for doc_ids, texts in blocks(batches, path):
-            rows: list[tuple[int | None, int, int, int, int]] = []
+            rows: list[tuple[int | None, int, int, int, int, int]] = []
             for doc_id, ids in zip(doc_ids.to_pylist(), texts, strict=True):
                 view = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(view), width)):
                     part = view[at : at + width]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), number))
+                    number += 1
             columns = zip(*rows, strict=True)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(compute, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return picked.mapInArrow(compute, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (a row per piece, with long ``length`` and tie columns doc_id, piece) with sequence_id and offset.
+def pack(parts: DataFrame, capacity: int = CAPACITY, budget: int | None = BUDGET, width: int | None = WIDTH, tie: list[str] | None = None) -> DataFrame:
+    """``parts`` (a row per piece, with long ``length``) with sequence_id and offset.
 
-    Any further columns are kept. Every row gets a place, repeated rows too.
-    Sequence ids count from 0; places in a sequence are gapless from 0. An
-    empty table stays empty. ``parts`` is read more than once: pass a table.
+    Other columns are kept; those named sequence_id or offset are replaced.
+    Every row gets a place, repeated rows too. ``tie`` are the columns that
+    order rows of one length, all of them unless given; rows alike there may
+    change places. Sequence ids count from 0; places in a sequence are gapless
+    from 0. An empty table stays empty. ``parts`` is read more than once: pass
+    a table. ``budget`` and ``width`` bound the search as in ``complete_bins``.
     """
+    parts = parts.drop("sequence_id", "offset")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    plan = Plan(complete_bins(histogram, capacity))
-    ranked = salted_rank(parts, "length", ["doc_id", "piece"])
-    fields = [f.name for f in parts.schema]
+    plan = Plan(complete_bins(histogram, capacity, budget, width))
+    rank = free_name(parts.columns, "_rank")
+    ranked = salted_rank(parts, "length", tie or [c for c in parts.columns if c != "length"] or ["length"], name=rank)
+    fields = parts.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = plan.place(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+            sequence, offset = plan.place(batch.column("length").to_numpy(), batch.column(rank).to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(sequence), pa.array(offset)], [*fields, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return ranked.select(*fields, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*fields, rank).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+
+
+def gap(parts: DataFrame, capacity: int = CAPACITY, budget: int | None = BUDGET, width: int | None = WIDTH) -> tuple[int, int]:
+    """(sequences of the packing, lower bound) of the lengths in ``parts``: equal if it is proved smallest."""
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    return sum(r.bins for r in complete_bins(histogram, capacity, budget, width)), lower_bound(histogram, capacity)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's pieces with their sequence and place there."""
-    return pack(kept(pieces(docs, path, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, budget: int | None = BUDGET, width: int | None = WIDTH) -> DataFrame:
+    """Every document's pieces with their sequence and place there. Only doc_id and text of ``docs`` are read."""
+    return pack(kept(pieces(docs, path, capacity), "pieces"), capacity, budget, width, ["row"]).drop("row")
 
 
 def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None) -> DataFrame:

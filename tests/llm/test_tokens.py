@@ -190,6 +190,26 @@ def test_sequences_hold_the_ids(spark, library):
         assert found[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == ids[r["start"] : r["start"] + r["length"]]
 
 
+def test_pack_keeps_clashing_columns_and_repeated_rows(spark):
+    rows = [(7, 1, 5, "x", 9)] * 500 + [(9, 2, 5, "y", 9)] * 3 + [(3, 3, 5, "z", 9)] * 100
+    parts = spark.createDataFrame(rows, "length long, doc_id long, rank int, _salt string, offset int")
+    got = packing.pack(parts, 10)
+    assert got.columns == ["length", "doc_id", "rank", "_salt", "sequence_id", "offset"]
+    placed = defaultdict(list)
+    for r in got.collect():
+        placed[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert (r["rank"], r["_salt"]) == (5, {1: "x", 2: "y", 3: "z"}[r["doc_id"]])
+    assert all(sorted(p)[0][0] == 0 and sum(x for _, x in p) <= 10 for p in placed.values())
+    assert sum(map(len, placed.values())) == 603 and len(placed) == 503 == packing.gap(parts, 10)[0] == packing.gap(parts, 10)[1]
+
+
+def test_an_unbounded_search_is_optimal_where_a_small_one_is_not():
+    items = [6, 6, 6, 6, 5, 5, 5, 5, 4, 4, 4, 4, 3, 3, 3, 3, 2, 2, 2, 2]
+    for capacity in (13, 16, 17, 19):
+        runs = packing.complete_bins(Counter(items[:14]), capacity, None, None)
+        assert sum(r.bins for r in runs) == brute_bins(items[:14], capacity)
+
+
 def test_fillings_of_least_waste_are_looked_at_first():
     sizes = list(range(400, 1101))
     found = packing._fillings(948, sizes, dict.fromkeys(sizes, 1), 500, 64)
