@@ -7,8 +7,11 @@ are looked up anew, until no neighbours merge. For words of a few dozen parts
 the scan over one contiguous list is cheaper than any heap. Words of more than
 ``SHORT`` parts use a heap over linked parts, which gives the same merges.
 
-Vocabulary, merges and the split pattern come from the tokenizer's file; the
-code does folding, splitting, merging and decoding itself.
+Vocabulary, merges and the split pattern come from the tokenizer's file.
+Common Latin text is folded and split here. What folds or splits by Unicode's
+tables (other scripts, uncommon signs and spaces) goes through the library's
+normaliser and splitter, whose Unicode version no other table here shares.
+Merging and decoding are always done here.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from siftwell.llm.tokens import Chunks, byte_letters, cut, piece_pattern, unusual, vocabulary_path
+from siftwell.llm.tokens import Chunks, byte_letters, cut, piece_pattern, vocabulary_path
 
 SHORT = 128
 NONE = 1 << 60
@@ -45,6 +48,9 @@ class Bpe(Chunks):
         super().__init__(pattern, list(self.added))
         vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         letters = byte_letters()
+        self.bytes = {c: i for i, c in enumerate(letters)}
+        library = Tokenizer.from_file(path)
+        self.fold, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.inner = [vocabulary.get(c) for c in letters]
         self.last = [vocabulary.get(c + suffix) for c in letters]
         self.merges: dict[int, tuple[int, int]] = {}
@@ -107,20 +113,13 @@ class Bpe(Chunks):
         return out + self._folded_ids(text[at:])
 
     def _folded_ids(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(folded(text)) for i in self.merged(piece.encode("utf-8", "replace"))]
+        return [i for letters, _ in self.split(self.fold(text)) for i in self.merged(bytes(map(self.bytes.__getitem__, letters)))] if text else []
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces, special ones too: what a tokenizer without a decoder gives."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
-def folded(text: str) -> str:
-    """NFC, then each character's own lower case (a final sigma is no exception)."""
-    if not unusual(text):
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-
 _bpes: dict[str, Bpe] = {}
 
 

@@ -34,6 +34,21 @@ def test_ids_are_the_librarys(library, texts, make):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("make", [tokens.encoder, bpe.bpe])
+def test_every_code_point_alone_and_inside_words(library, make):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    plain = [c for c in points if ord(c) < 0x20000 or 0xE0000 <= ord(c) < 0xE0200 or ord(c) % 61 == 0]
+    own = make(tokens.vocabulary_path())
+    for frame in ("{}", "ab{}Cd {}"):
+        texts = [frame.format(c, c) for c in plain]
+        for at in range(0, len(texts), 4096):
+            want = library.encode_batch(texts[at : at + 4096], add_special_tokens=False)
+            got = own.encode(texts[at : at + 4096])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+    whole = "a?" + "b ".join(points)
+    assert np.frombuffer(own.encode([whole])[0], "<u4").tolist() == library.encode(whole, add_special_tokens=False).ids
+
+
 def test_dictionaries_stay_bounded_and_right(library, texts):
     small = bpe.Bpe(tokens.vocabulary_path())
     small.chunks.most, small.pieces.most = 50, 20
