@@ -16,17 +16,16 @@ from __future__ import annotations
 
 import bisect
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwell.llm.files import fetch, save
 from siftwell.llm.shared import new_path
 from siftwell.llm.tokens import blocks, vocabulary_path
 
@@ -192,27 +191,8 @@ class TokenFile:
         return self.between(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def _store(uri: str) -> tuple[files.FileSystem, str]:
-    scheme, _, rest = uri.partition(":")
-    if not rest or scheme == "file":  # Hadoop also writes file:/path
-        return files.LocalFileSystem(), "/" + (rest or uri).lstrip("/")
-    return files.FileSystem.from_uri(uri)
-
-
-def save(uri: str, data: bytes) -> None:
-    """Write a file whole or not at all: a second attempt of a task gives the same bytes under the same name."""
-    store, path = _store(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
-        out.write(data)
-    store.move(part, path)
-
-
 def load(uri: str) -> TokenFile:
-    store, path = _store(uri)
-    with store.open_input_stream(path) as file:
-        return TokenFile(file.read())
+    return TokenFile(fetch(uri))
 
 
 def _ranges(docs: DataFrame) -> int:

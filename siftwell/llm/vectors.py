@@ -1,13 +1,15 @@
-"""Searching vectors in blocks: shards of rows against blocks of queries.
+"""Vector indexes in shards: built once, stored as files, searched by blocks of queries.
 
-Rows are dealt by a hash of their id into shards of about ``SHARD_ROWS``, and
-queries into blocks of about ``QUERY_ROWS``. A task gets one shard and one
-block, so its memory is bounded however large the table and however many rows
-are alike; the results of a query's shards are merged by rank.
+Rows are shuffled to their shard once; a task builds the shard's index and
+writes it into the shared folder. Queries then go to the shards they need, some
+thousand at a time, and a task loads the one index they ask. So memory is
+bounded by a shard and a block, and what is shuffled grows with rows, and with
+queries times the shards they have to see.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -15,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, QUERY_ROWS = 8192, 4096
+from siftwell.llm.files import fetch, save
+from siftwell.llm.shared import kept
 
-#: (ids, vectors, query ids, query vectors) -> (query ids, ids, scores), for vectors of one length.
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+SHARD_ROWS, QUERY_ROWS = 8192, 4096
 
 
 def usable(vector: Column) -> Column:
@@ -27,68 +29,98 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def matrix(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, all components) of a list column."""
+def matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """The rows of a list column whose lists are equally long."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.diff(column.offsets.to_numpy()), np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(column), -1 if len(column) and len(column[0]) else 0)
 
 
-def by_length(table: pa.Table, kind: type) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of each length in a table of columns vec_id and vector, in id order."""
-    lengths, flat = matrix(table.column("vector"), kind)
-    ids, starts = table.column("vec_id").to_numpy(), np.concatenate(([0], np.cumsum(lengths)))
-    found = {}
-    for length in np.unique(lengths):
-        own = np.flatnonzero(lengths == length)
-        own = own[np.argsort(ids[own], kind="stable")]
-        found[int(length)] = ids[own], flat[starts[own][:, None] + np.arange(length)]
-    return found
+def by_length(batch: pa.RecordBatch | pa.Table) -> list[pa.Table]:
+    """A batch with columns ``n`` and ``vector``, parted by n."""
+    table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+    lengths = table.column("n").to_numpy()
+    return [table.filter(pa.array(lengths == n)) for n in np.unique(lengths)]
 
 
-class Distinct:
-    """The distinct vectors of a shard and, for each, its rows' ids in order.
+def candidates(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (vec_id, vector, n, copies): of each vector as many as a top k can hold.
 
-    Rows of one vector score alike and rank by id, so k + 1 of them (one may be
-    the query itself) are all that a top k can hold.
+    Rows of one vector score alike and rank by id, so k + 1 ids (one may be
+    asked for itself) of each, and k copies of an id, are all that any result
+    shows. Both limits work before the shuffle, so a vector or an id that a
+    third of all rows share makes no large group.
     """
+    once = rows.groupBy("vector", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+    first = Window.partitionBy("vector").orderBy("vec_id")
+    return once.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= k + 1).select("vec_id", "vector", F.size("vector").alias("n"), "copies")
+
+
+def asked(rows: DataFrame, every: int) -> DataFrame:
+    """Rows (query_id, key, n, vector): the queries; ``key`` tells apart rows of one id."""
+    found = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("vector").alias("key"), F.size("vector").alias("n"), "vector")
+    return found.dropDuplicates(["query_id", "key"])
+
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+class Distinct:
+    """The distinct vectors of a shard and, for each, its rows' ids in order."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> None:
         keys = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * max(1, vectors.shape[1])))).ravel() if vectors.shape[1] else np.zeros(len(ids), "V1")
         _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         self.vectors = vectors[first]
         order = np.lexsort((ids, inverse))
-        self.ids, self.starts = ids[order], np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(first)))))
-
-    def _first(self, row: int, k: int, own: int) -> np.ndarray:
-        ids = self.ids[self.starts[row] : self.starts[row + 1]]
-        return ids[ids != own][:k] if own in ids[: k + 1] else ids[:k]
+        self.ids = np.repeat(ids[order], copies[order])
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(inverse, copies, len(first)).astype(np.int64))))
 
     def expand(self, rows: np.ndarray, scores: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (ids, scores) of distinct rows, without id ``own``; ties to smaller ids."""
-        ids = [self._first(r, k, own) for r in rows]
+        ids = [(x := self.ids[self.starts[r] : self.starts[r + 1]])[x != own][:k] for r in rows]
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         values = np.repeat(scores, [len(x) for x in ids])
         best = np.lexsort((flat, -values))[:k]
         return flat[best], values[best]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, run: Search, kind: type, score_type: str, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k best of ``run`` over all shards.
+def _file(folder: str, n: int, shard: int) -> str:
+    return f"{folder}/{n}-{shard}.index"
 
-    Both tables have a non-null long vec_id and an array ``vector``. They are
-    counted first, so pass tables or cheap plans.
-    """
-    shards, blocks = max(1, -(-vectors.count() // shard_rows)), max(1, -(-queries.count() // query_rows))
-    rows = vectors.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards).cast("long")).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    asked = queries.select("vec_id", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long")).alias("block"))
-
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, wanted = by_length(left, kind), by_length(right, kind)
-        parts = [run(*own[n], *wanted[n]) for n in wanted if n in own]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64() if score_type == "long" else pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(task, f"query_id long, vec_id long, score {score_type}")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+def store(rows: DataFrame, folder: str, kind: type, make: Callable[[Distinct], object]) -> DataFrame:
+    """Build and write the index of each (n, shard) of ``rows`` (n, shard, vec_id, copies, vector); return the shards there are."""
+
+    def build(group: pa.Table) -> pa.Table:
+        ids, copies = group.column("vec_id").to_numpy(), group.column("copies").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        vectors = matrix(group.column("vector"), kind)
+        n, shard = group.column("n")[0].as_py(), group.column("shard")[0].as_py()
+        save(_file(folder, n, shard), pickle.dumps(make(Distinct(ids[order], copies[order], vectors[order])), 5))
+        return pa.table({"n": pa.array([n], pa.int32()), "shard": pa.array([shard], pa.int64())})
+
+    return kept(rows.groupBy("n", "shard").applyInArrow(build, "n int, shard long"), "shards")
+
+
+#: (index, query ids, query vectors, least scores wanted or None) -> for each query (ids, scores).
+Search = Callable[[object, np.ndarray, np.ndarray, list], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def ask(queries: DataFrame, shards: DataFrame, folder: str, blocks: int, kind: type, run: Search, score_type: str) -> DataFrame:
+    """Rows (query_id, key, vec_id, score) that ``run`` finds for ``queries`` (query_id, key, n, shard, vector, floor) in the ``shards`` stored."""
+    score = pa.int64() if score_type == "long" else pa.float64()
+
+    def task(group: pa.Table) -> pa.Table:
+        index = pickle.loads(fetch(_file(folder, group.column("n")[0].as_py(), group.column("shard")[0].as_py())))
+        ids, keys = group.column("query_id").to_numpy(), group.column("key").to_numpy()
+        found = run(index, ids, matrix(group.column("vector"), kind), group.column("floor").to_pylist())
+        sizes = [len(x) for x, _ in found]
+        columns = [np.repeat(ids, sizes), np.repeat(keys, sizes), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), score), strict=True)], names=["query_id", "key", "vec_id", "score"])
+
+    dealt = queries.join(shards, ["n", "shard"], "left_semi").withColumn("block", F.pmod(F.xxhash64("query_id", "key"), F.lit(blocks)))
+    return dealt.groupBy("n", "shard", "block").applyInArrow(task, f"query_id long, key long, vec_id long, score {score_type}")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the k best of each query, ties to smaller ids."""
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 import math
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.llm import lsh_forest, mtree
 
@@ -45,9 +46,7 @@ def test_top_k_is_exact(spark, mixed):
 
 
 def test_top_k_over_several_shards_and_blocks(spark, mixed, monkeypatch):
-    from siftwell.llm import vectors
-
-    monkeypatch.setattr(vectors.search, "__defaults__", (64, 3))
+    monkeypatch.setattr(mtree.top_k, "__defaults__", (*mtree.top_k.__defaults__[:-2], 32, 3))
     test_top_k_is_exact(spark, mixed)
 
 
@@ -101,3 +100,55 @@ def test_large_components_take_part_exactly(spark):
         scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
         wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:3])]
     assert got == wanted
+
+
+def test_scores_are_exact_over_shards_of_unlike_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.integers(-(1 << 12), 1 << 12, 64) + (rng.integers(0, 1 << 17, 64) if i % 300 == 0 else 0)).tolist()) for i in range(900)]
+    whole = {i: [1024 * x for x in v] for i, v in rows}
+    got = {}
+    for r in mtree.top_k(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>"), shard_rows=50, query_rows=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(0, 900, 100):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:10]
+        assert got[q] == [(i, -s) for s, i in scored]
+
+
+def test_query_rows_of_one_id_are_asked_each(spark):
+    rows = [(100, [1.0, 0.0], 1), (100, [0.0, 1.0], 1), (100, [0.0, 1.0], 1), (10, [2.0, 1.0], 1), (11, [1.0, 2.0], 1), (12, [0.5, 0.5], 1)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").withColumn("score", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("key", F.lit(2))
+    for found in (mtree.top_k(data, k=2), lsh_forest.neighbours(data, k=2)):
+        by_rank = sorted((r["rank"], r["vec_id"]) for r in found.collect())
+        assert len(by_rank) == 4 and [r for r, _ in by_rank] == [1, 1, 2, 2] and {v for r, v in by_rank if r == 1} == {10, 11}
+
+
+def test_hot_vectors_and_hot_ids(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(1, 400)] + [(500, [1.0, 2.0, 3.0])] * 300 + [(1000, [3.0, 2.0, 1.0])] + [(2000 + i, [float(i % 7), 1.0, 1.0]) for i in range(1, 300)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in mtree.top_k(data, shard_rows=40, query_rows=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    whole = [(i, np.array(v, np.int64) * 1024) for i, v in rows]
+    asked = {}
+    for q, a in whole:
+        if q % 100 == 0 and q not in asked:
+            asked[q] = [(i, -s) for s, i in sorted((-int(a @ b), i) for i, b in whole if i != q)[:10]]
+    assert got == asked
+
+
+def test_a_query_skips_shards_out_of_reach(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 16)) * 40
+    router = mtree.Router((centres * 1024).astype(np.int64), 0.0)
+    rows = ((centres[rng.integers(0, 20, 4000)] + rng.standard_normal((4000, 16)) * 0.1) * 1024).astype(np.float64)
+    router.most = float((rows * rows).sum(1).max())
+    owner, distance = router.rows(rows)
+    router.radii, router.salts = np.array([distance[owner == i].max(initial=0) for i in range(20)]), np.ones(20, np.int64)
+    low, sizes = router.queries(rows[:50])
+    kth = np.sort(rows[:50] @ rows.T, 1)[:, -11]
+    reach = np.sqrt(sizes + router.most - 2 * kth)
+    opened = low <= (reach + router.slack(sizes))[:, None]
+    assert opened[:, :].sum() < 50 * 20 / 2
+    for i in range(50):
+        best = np.argsort(-(rows @ rows[i]))[:10]
+        assert opened[i, owner[best]].all()
