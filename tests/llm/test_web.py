@@ -1,4 +1,8 @@
-import duckdb
+import html
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +49,80 @@ def test_a_light_run_is_kept():
     assert html_text.main_text(f"<div>{menu}<div>{parts}</div></div>").split("\n\n") == wanted
 
 
+LONG = "Some longer sentence of the text. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a last paragraph in a second container
+        (f"<div id=content><div><p>{LONG}<p>{LONG}</div><div><p>The end.</p></div></div>", [LONG, LONG, "The end."]),
+        # a paragraph that is one link, and more behind it
+        (f"<body><ul><li><a href=/>Home</a></ul><p>{LONG}</p><p><a href=x>A link</a></p><p>More.</p><p>Copyright 2020 x</p></body>", [LONG, "A link", "More."]),
+        (f"<body><p>{LONG}</p><p><a href=x>A link</a></p><p>{LONG}</p></body>", [LONG, "A link", LONG]),
+        # classes of paragraphs inside an article
+        (f"<article><p class=alert>Mind this.</p><p>{LONG}</p><p class='ad-free note'>Noted.</p><div class=alert>Buy!</div></article>", ["Mind this.", LONG, "Noted."]),
+        # references are decoded within one run of text
+        ("<p>a &<b>amp;</b> b &amp;amp; c&shy;d &#x41;&#66;</p>", ["a &amp; b &amp; c\u00add AB"]),
+        # a table layout with a side column
+        (f"<table><tr><td class=sidebar><p>{LONG}</p></td><td><h1>Title</h1>{LONG}<br>{LONG}<p>End.</td></tr></table>", ["Title", (LONG * 2).strip(), "End."]),
+        # a forum page: reader comments below
+        (f"<div class=header>Site</div><div class=post><h2>Head</h2><p>{LONG}</p></div><ol class='comment-list'><li id=comment-1><p>{LONG}</ol><div id=respond><form>x</form></div>", ["Head", LONG]),
+        # two sections with an advert between
+        (f"<main><section><p>{LONG}</section><div class='ad-slot'>Buy</div><section><p>Short.</section></main><footer>&copy;</footer>", [LONG, "Short."]),
+        # end tags missing or crossed
+        (f"<article><ul><li>one<p>{LONG}<li><b>two</ul></b><p>three</div></article><p>out", ["one", LONG, "two", "three"]),
+    ],
+)
+def test_templates(page, text):
+    assert html_text.main_text(page).split("\n\n") == [x.strip() for x in text]
+
+
+def test_block_sums_against_plain_loops():
+    rng = random.Random(6)
+    for _ in range(300):
+        sizes = [rng.choice([0, 0, rng.randrange(120)]) for _ in range(rng.randrange(30))]
+        sums = []
+        for i in range(len(sizes)):
+            total = 0
+            for j in range(i, min(i + 3, len(sizes))):
+                total += sizes[j]
+            sums.append(total)
+        limit = min(86, max(sums, default=0))
+        want, i = [], 0
+        while i < len(sizes):  # maximal stretches of filled lines in which some window reaches the limit
+            j = i
+            while j < len(sizes) and sizes[j]:
+                j += 1
+            if any(sums[k] >= limit and limit for k in range(i, j)):
+                want.append((i, j))
+            i = max(j, i + 1)
+        assert html_text.spans(sizes) == want
+
+
+def test_deep_and_long_pages_take_linear_time():
+    def seconds(page):
+        start = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    for opened in ("<div>", "<b>", "<ul><li>", "<p><span>", "<table><tr><td>", "<blockquote>x"):
+        small, large = (min(seconds(opened * n + LONG + "</div></b>" * 10) for _ in range(2)) for n in (2_000, 20_000))
+        assert large < 30 * small + 0.3, opened
+    assert html_text.main_text("<div>" * 50_000 + "<p>" + LONG + "</p>" + "</div>" * 50_000) == LONG.strip()
+    text = html_text.main_text("<article>" + f"<p>{LONG}</p>" * 30_000 + "</article>")
+    assert text.count("\n\n") == 29_999
+
+
+def test_pages_of_the_tables_give_their_article(spark, small):
+    big = small.replace("sf0.001", "sf0.01")
+    pages = spark.read.parquet(f"{big}/pages.parquet")
+    for row in html_text.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*)</article>", row["html"], re.DOTALL)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " " if "br" in article else "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert "".join(row["text"].split()) == "".join("".join(b) for b in blocks).replace(" ", "")
+
+
 def test_extract_rows(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("text", F.lit("clash"))
     rows = html_text.extract(pages).collect()
