@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.files import fetch, save
 from siftwell.llm.shared import kept
 
-SHARD_ROWS, QUERY_ROWS = 8192, 4096
+SHARD_ROWS, QUERY_ROWS = 8192, 512
 
 
 def usable(vector: Column) -> Column:
@@ -86,6 +86,12 @@ def _file(folder: str, n: int, shard: int) -> str:
     return f"{folder}/{n}-{shard}.index"
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` shuffled by ``keys`` to enough tasks for all cores: groups are few bytes and much work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def store(rows: DataFrame, folder: str, kind: type, make: Callable[[Distinct], object]) -> DataFrame:
     """Build and write the index of each (n, shard) of ``rows`` (n, shard, vec_id, copies, vector); return the shards there are."""
 
@@ -97,7 +103,7 @@ def store(rows: DataFrame, folder: str, kind: type, make: Callable[[Distinct], o
         save(_file(folder, n, shard), pickle.dumps(make(Distinct(ids[order], copies[order], vectors[order])), 5))
         return pa.table({"n": pa.array([n], pa.int32()), "shard": pa.array([shard], pa.int64())})
 
-    return kept(rows.groupBy("n", "shard").applyInArrow(build, "n int, shard long"), "shards")
+    return kept(_dealt(rows, "n", "shard").groupBy("n", "shard").applyInArrow(build, "n int, shard long"), "shards")
 
 
 #: (index, query ids, query vectors, least scores wanted or None) -> for each query (ids, scores).
@@ -117,7 +123,7 @@ def ask(queries: DataFrame, shards: DataFrame, folder: str, blocks: int, kind: t
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), score), strict=True)], names=["query_id", "key", "vec_id", "score"])
 
     dealt = queries.join(shards, ["n", "shard"], "left_semi").withColumn("block", F.pmod(F.xxhash64("query_id", "key"), F.lit(blocks)))
-    return dealt.groupBy("n", "shard", "block").applyInArrow(task, f"query_id long, key long, vec_id long, score {score_type}")
+    return _dealt(dealt, "n", "shard", "block").groupBy("n", "shard", "block").applyInArrow(task, f"query_id long, key long, vec_id long, score {score_type}")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
