@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from dataclasses import dataclass, field
 
@@ -92,12 +93,14 @@ class Pacer:
     per_minute: float | None
     clock: object = field(default=time)
     following: float = 0.0
+    lock: threading.Lock = field(default_factory=threading.Lock)
 
     def wait(self) -> None:
         if not self.per_minute:
             return
-        now = self.clock.monotonic()
-        start = max(now, self.following)
-        self.following = start + 60.0 / self.per_minute
+        with self.lock:
+            now = self.clock.monotonic()
+            start = max(now, self.following)
+            self.following = start + 60.0 / self.per_minute
         if start > now:
             self.clock.sleep(start - now)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -22,6 +23,10 @@ from siftwell.functions import money, paths
 from siftwell.operators import budget
 
 
+#: Most calls that one task has in flight; more are dealt to several tasks.
+MOST_THREADS = 16
+
+
 class Judge(Protocol):
     def files(self, states: list[dict]) -> list[dict]: ...
 
@@ -90,11 +95,13 @@ def with_retries(call: Callable[[], list[dict]], sleep: Callable[[float], None]
     raise AssertionError("unreachable")
 
 
-def judge_files(candidates: DataFrame, judge: Judge, per_minute: float | None = None) -> DataFrame:
+def judge_files(candidates: DataFrame, judge: Judge, per_minute: float | None = None, threads: int = 1) -> DataFrame:
     """Result rows of ``candidates``: one per row; a failed call is a row with an error.
 
-    Tokens are billed as ``money.billed_tokens`` says. The rate is for each
-    partition: give it the whole rate divided by their number.
+    Tokens are billed as ``money.billed_tokens`` says. Each partition has
+    ``threads`` calls in flight, and the rate is for each: give it the whole
+    rate divided by their number. Once a partition sees ``S.BREAKER_LIMIT``
+    systemic errors in a row it asks no more; rows not asked give no row.
     """
     states = candidates.withColumn("_state", file_state()).withColumn("_estimate", money.call_tokens(F.col("excerpt")))
     kept = ["dedupe_key", "path", "size", "category", "metadata_only", "extraction_status", "seq", "_estimate"]
@@ -104,18 +111,27 @@ def judge_files(candidates: DataFrame, judge: Judge, per_minute: float | None =
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
-        pacer = budget.Pacer(per_minute)
-        for batch in batches:
-            out = []
-            for text in batch["_state"]:
-                pacer.wait()
-                try:
-                    out.append(with_retries(lambda text=text: judge.files([json.loads(text)]))[0] | {"http_status": None})
-                except CallError as error:
-                    out.append({"error": str(error) or type(error).__name__, "http_status": error.http_status})
-            answers = pd.DataFrame(out, columns=["probabilities", "value_score", "value_confidence", "input_tokens", "error", "http_status"], index=batch.index).astype(object)
-            answers = answers.where(answers.notna(), None)
-            yield pd.concat([batch[kept], answers], axis=1)
+        pacer, breaker = budget.Pacer(per_minute), budget.Breaker()
+
+        def ask(text: str) -> dict | None:
+            if breaker.streak >= breaker.limit:
+                return None
+            pacer.wait()
+            try:
+                found = with_retries(lambda: judge.files([json.loads(text)]))[0] | {"http_status": None}
+            except CallError as error:
+                found = {"error": str(error) or type(error).__name__, "http_status": error.http_status}
+            breaker.record(found["http_status"])
+            return found
+
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                out = list(pool.map(ask, batch["_state"]) if threads > 1 else map(ask, batch["_state"]))
+                asked = [x is not None for x in out]
+                batch = batch[asked]
+                answers = pd.DataFrame([x for x in out if x is not None], columns=["probabilities", "value_score", "value_confidence", "input_tokens", "error", "http_status"], index=batch.index).astype(object)
+                answers = answers.where(answers.notna(), None)
+                yield pd.concat([batch[kept], answers], axis=1)
 
     judged = states.select(*kept, "_state").mapInPandas(answer, schema)
     billed = money.billed_tokens(F.col("error"), F.col("input_tokens"), F.col("_estimate"))

@@ -30,8 +30,16 @@ class Run:
         return logs.inventory(self.spark, self.path("inventory"))
 
     def has(self, name: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return logs.exists(self.spark, self.path(name))
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table of the run folder: made once, then read, whatever executors are lost."""
+        df.write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def add(self, df: DataFrame, name: str, key: str) -> None:
+        """Append ``df`` to one of the run's logs."""
+        logs.append(logs.numbered(df, logs.next_append(self.spark, self.path(name)), key), self.path(name))
 
     def log(self) -> DataFrame:
         return logs.results(self.spark, self.path("results"), strict=False) if self.has("results") else self.spark.createDataFrame([], S.RESULTS)
@@ -49,7 +57,7 @@ class Run:
 
 def walk(run: Run, roots: list[str]) -> DataFrame:
     """List the roots, write inventory and errors, and return the counts by category."""
-    inventory, errors = filesystem.inventory(run.spark, roots)
+    inventory, errors = filesystem.inventory(run.spark, roots, run.written)
     logs.overwrite(inventory, run.path("inventory"))
     logs.write_errors(errors, run.path("walk-errors"))
     return rollups.category_counts(run.inventory())
@@ -79,50 +87,49 @@ def estimate(run: Run, **choice) -> DataFrame:
     return budget.estimate(extracted(run, plan_scan(run, **choice)))
 
 
-def prefilter(run: Run, rows: DataFrame, judge: scoring.Judge, cap: float = S.DEFAULT_CAP) -> DataFrame:
+def prefilter(run: Run, rows: DataFrame, judge: scoring.Judge, live: budget.Budget | None = None) -> DataFrame:
     """``rows`` outside directories that are not worth scanning; directories without an answer are asked first.
 
-    Over the cap nothing is asked and earlier answers alone count.
+    What is asked is spent from ``live``. Over its cap nothing is asked and
+    earlier answers alone count.
     """
-    asked = listings.listings(run.inventory(), rows)
-    states = listings.state(selection.undecided(asked, run.decisions())).join(asked.select("path", "file_count"), "path").persist()
+    live = budget.Budget() if live is None else live
+    asked = run.written(listings.listings(run.inventory(), rows), "prefilter-work/listings")
+    states = listings.state(selection.undecided(asked, run.decisions())).join(asked.select("path", "file_count"), "path")
     size = states.agg(F.coalesce(F.sum(F.lit(S.CALL_TOKENS) + money.worst_tokens(F.length("state"))), F.lit(0))).first()[0]
-    if size and not budget.Budget(cap).would_exceed(size):
-        logs.append(scoring.judge_directories(states, judge).withColumn("seq", F.lit(None).cast("long")), run.path("prefilter"))
-    states.unpersist()
+    if size and not live.would_exceed(size):
+        answers = run.written(scoring.judge_directories(states, judge), "prefilter-work/answers")
+        run.add(answers, "prefilter", "path")
+        live.record(answers.agg(F.coalesce(F.sum("input_tokens"), F.lit(0))).first()[0])
     return selection.apply_decisions(rows, asked, run.decisions())
 
 
 def scan(run: Run, judge: scoring.Judge, cap: float = S.DEFAULT_CAP, batch_size: int = S.DEFAULT_CONCURRENCY, use_prefilter: bool = False, per_minute: float | None = None, **choice) -> scanning.Outcome:
-    """Select, prefilter, extract, judge. Directories are judged before files are read."""
-    rows = plan_scan(run, **choice)
+    """Select, prefilter, extract, judge. Directories are judged before files are read; one budget serves both."""
+    rows, live = plan_scan(run, **choice), budget.Budget(cap)
     if use_prefilter:
-        rows = prefilter(run, rows, judge, cap)
+        rows = prefilter(run, rows, judge, live)
     targeted = choice.get("only_name_only") or choice.get("from_ocr")
     found = extracted(run, rows, skip_unreadable=bool(targeted) and not choice.get("outdated_rubric"))
-    return scanning.run(found, judge, run.path("results"), run.path("work"), cap, batch_size, per_minute)
+    return scanning.run(found, judge, run.path("results"), run.path("work"), cap, batch_size, per_minute, live=live)
 
 
 def annotate(run: Run, take_all: bool = False, top: int = S.REPORT_TOP, min_prob: float = S.REPORT_MIN_PROB) -> DataFrame:
     """Append missing extraction states; return the keys to scan anew."""
-    targets = annotation.annotation_targets(run.latest(), run.inventory(), take_all, top, min_prob).persist()
+    targets = run.written(annotation.annotation_targets(run.latest(), run.inventory(), take_all, top, min_prob), "annotate-work/targets")
     files = targets.select("dedupe_key", F.col("file_path").alias("path"), F.col("file_category").alias("category"), F.col("file_ext").alias("ext"), F.col("file_size").alias("size"))
-    appended, again = annotation.backfill(targets, extract.with_excerpts(files).select("dedupe_key", "metadata_only", "extraction_status"))
-    found = again.persist()
-    found.count()
-    next_seq = (run.log().agg(F.max("seq")).first()[0] or 0) + 1
-    logs.append(appended.withColumn("seq", F.col("seq") + next_seq), run.path("results"))
-    targets.unpersist()
-    return found
+    states = run.written(extract.with_excerpts(files).select("dedupe_key", "metadata_only", "extraction_status"), "annotate-work/states")
+    appended, again = annotation.backfill(targets, states)
+    run.add(appended.withColumn("seq", F.lit(None).cast("long")), "results", "dedupe_key")
+    return again
 
 
 def recognise(run: Run, recogniser: ocr.Recogniser = ocr.recognise, top: int = S.OCR_TOP, min_value: float = S.MIN_VALUE, take_all: bool = False, limit: int | None = None) -> DataFrame:
     """Recognise the best candidates, append to the OCR log and count by status."""
     rows = ranking.ocr_candidates(run.latest(), top, min_value, take_all, limit)
-    log = ocr.run(rows, recogniser).persist()
-    logs.append(log.withColumn("seq", F.lit(None).cast("long")), run.path("ocr"))
-    counts = ocr.status_counts(log)
-    return counts
+    log = run.written(ocr.run(rows, recogniser), "ocr-work")
+    run.add(log, "ocr", "dedupe_key")
+    return ocr.status_counts(log)
 
 
 def report(run: Run, top: int = S.REPORT_TOP, min_prob: float = S.REPORT_MIN_PROB, min_value: float = S.MIN_VALUE) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,13 +123,17 @@ def listed(spark: SparkSession, roots: list[str]) -> DataFrame:
     return spark.read.format("siftwell_files").option("roots", os.pathsep.join(roots)).load()
 
 
-def inventory(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+def inventory(spark: SparkSession, roots: list[str], written: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(inventory, errors) of the roots, which share one key space.
 
+    ``written`` makes a table of a DataFrame under a name. With it the roots
+    are walked and files are hashed once; without it each use does so anew.
+
     ``seq`` numbers rows by root, then path, so that a rerun gives the same.
     It is made of a count per directory and a number within, not of one sort.
     """
-    rows = listed(spark, roots)
+    kept = written or (lambda df, _: df)
+    rows = kept(listed(spark, roots), "walk-work/listing")
     errors = rows.filter("error is not null").select("path", "root", "error")
     order = F.array_position(F.array(*map(F.lit, roots)), F.col("root"))
     files = selection.size_floor(rows.filter("error is null")).drop("error").withColumn("ext", paths.extension(F.col("name"))).withColumn("category", rules.categorize(F.col("ext")))
@@ -139,5 +143,5 @@ def inventory(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFra
     shifts = sizes.select("_root", "_dir", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     own = F.row_number().over(Window.partitionBy("_root", "_dir").orderBy("path")) - 1
     numbered = files.withColumn("_own", own).join(shifts, ["_root", "_dir"]).withColumn("seq", F.col("_own") + F.col("_shift")).drop("_own", "_shift", "_root", "_dir")
-    keyed = dedupe.mark_duplicates(dedupe.with_keys(numbered))
+    keyed = dedupe.mark_duplicates(kept(dedupe.with_keys(numbered), "walk-work/keyed"))
     return keyed.select("path", "size", "mtime", "ext", "category", "dedupe_key", "dup_of", "seq", "root"), errors

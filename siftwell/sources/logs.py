@@ -1,7 +1,9 @@
 """JSON-lines tables: readers that declare their schema, and writers.
 
-The order of a log is its file's order. Rows read from outside are numbered by
-file, block and line; a log of ours carries ``seq`` itself.
+The order of a log is that of appending. Rows of ours carry it as ``seq``: the
+number of the append and the row's place in it. Rows read from outside have no
+``seq``; they are numbered by file, block and line, and come before ours. A log
+has one writer at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pyspark.sql import types as T
 from siftwell import schema as S
 
 
+#: Bits of ``seq`` that hold a row's place in its append.
+PLACES = 40
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """The rows of a JSON-lines file or folder with ``seq``.
 
@@ -56,8 +62,7 @@ def results(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
     """The prefilter's log; an empty one if there is none yet."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return spark.createDataFrame([], S.DECISIONS)
     return read(spark, path, S.DECISIONS)
 
@@ -70,6 +75,31 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def next_append(spark: SparkSession, path: str) -> int:
+    """The number of the next append to a log of ours: one more than the greatest in it."""
+    if not exists(spark, path):
+        return 1
+    last = spark.read.schema("seq long").json(path).agg(F.max("seq")).first()[0]
+    return ((last or 0) >> PLACES) + 1
+
+
+def numbered(df: DataFrame, number: int, key: str) -> DataFrame:
+    """``df`` with the ``seq`` of append ``number``: its own place (column seq, if it has one), else one by hash of ``key``."""
+    spread = F.pmod(F.xxhash64(key), F.lit(1 << PLACES))
+    place = F.coalesce(F.col("seq").cast("long"), spread) if "seq" in df.columns else spread
+    return df.withColumn("seq", place + F.lit(number << PLACES))
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
 

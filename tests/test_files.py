@@ -1,11 +1,14 @@
+import json
 import os
+import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell import cli, schema as S
 from siftwell.functions import rules
-from siftwell.operators import extract, scoring
+from siftwell.operators import extract, folds, scoring
 from siftwell.plans import stages
 from siftwell.sources import filesystem, logs
 from siftwell.streaming import scan
@@ -127,5 +130,92 @@ def test_stream_judges_what_arrives_once(spark, tmp_path):
     assert logs.results(spark, str(tmp_path / "log")).count() == 1
 
 
+def fixed(value, seconds=0.0):
+    class Fixed(scoring.LocalJudge):  # of this function, so that it is shipped by value
+        """Judges every file alike."""
+
+        def files(self, states):
+            time.sleep(seconds)
+            return [x | {"value_score": value} for x in super().files(states)]
+
+    return Fixed()
+
+
+def _rows(spark, n):
+    return spark.createDataFrame([(f"/f{i}.txt", 40, 0.0, "txt", "text", f"k{i}", i, "x", False, "ok") for i in range(n)], S.CANDIDATE)
+
+
+def test_the_last_scan_wins(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for value in (1.0, 2.0, 0.5):
+        assert scan.run(_rows(spark, 12).repartition(3), fixed(value), log, str(tmp_path / "w"), batch_size=4).judged == 12
+        assert {r["value_score"] for r in folds.results_latest(logs.results(spark, log)).collect()} == {value}
+    rows = logs.results(spark, log).collect()
+    assert len(rows) == len({r["seq"] for r in rows}) == 36
+
+
+def test_annotation_does_not_hide_a_later_scan(spark, tmp_path):
+    _write(tmp_path / "home" / "a.txt", "some notes " * 5)
+    run = stages.Run(spark, str(tmp_path / "run"))
+    stages.walk(run, [str(tmp_path / "home")])
+    key = run.inventory().first()["dedupe_key"]
+    old = {"dedupe_key": key, "path": str(tmp_path / "home" / "a.txt"), "size": 55, "category": "text", "probabilities": {"credentials": 0.9}, "value_score": 1.0}
+    spark.createDataFrame([json.dumps(old)], "string").write.text(run.path("results"))
+    stages.annotate(run, take_all=True)
+    assert run.latest().first()["extraction_status"] == "ok"
+    scan.run(stages.extracted(run, run.inventory()), fixed(2.5), run.path("results"), run.path("work"))
+    assert run.latest().first()["value_score"] == 2.5 and run.latest().count() == 1
+
+
+def test_a_later_failure_hides_a_recognised_text(spark, tmp_path):
+    run = stages.Run(spark, str(tmp_path))
+    row = lambda status, text: spark.createDataFrame([("k", "/k", status, len(text or ""), text)], "dedupe_key string, path string, ocr_status string, excerpt_chars int, excerpt string")
+    for status, text, count in (("ok", "t", 1), ("error", None, 0), ("ok", "u", 1), ("timeout", None, 0)):
+        run.add(row(status, text), "ocr", "dedupe_key")
+        assert run.excerpts().count() == count
+    for worth in (0.5, 0.01, 0.7):
+        run.add(spark.createDataFrame([("/d", 10, worth, "x", 5, None)], "path string, file_count long, worth_scanning double, kind string, input_tokens long, error string"), "prefilter", "path")
+        assert run.decisions().first()["worth_scanning"] == worth
+
+
+def test_calls_run_at_once(spark, tmp_path):
+    scan.run(_rows(spark, 2), fixed(1.0), str(tmp_path / "l0"), str(tmp_path / "w0"))  # warm
+    start = time.perf_counter()
+    out = scan.run(_rows(spark, 400), fixed(1.0, 0.25), str(tmp_path / "log"), str(tmp_path / "w"))
+    rate = 400 / (time.perf_counter() - start)
+    assert out.judged == 400 and rate > 10, rate
+
+
+def test_staged_answers_of_a_stopped_run_are_logged(spark, tmp_path):
+    log, work = str(tmp_path / "log"), str(tmp_path / "w")
+    scan.run(_rows(spark, 4), fixed(1.0), log, work)
+    staged = logs.numbered(scoring.judge_files(_rows(spark, 6), fixed(2.0)), logs.next_append(spark, log), "dedupe_key")
+    staged.write.parquet(f"{work}/answers")
+    assert scan.run(_rows(spark, 0), fixed(1.0), log, work).judged == 0
+    assert {r["value_score"] for r in folds.results_latest(logs.results(spark, log)).collect()} == {2.0} and logs.results(spark, log).count() == 10
+
+
+def test_one_budget_serves_directories_and_files(spark, tmp_path):
+    for i in range(12):
+        _write(tmp_path / "home" / "documents" / f"{i}.txt", f"note {i} " * 8)
+    run = stages.Run(spark, str(tmp_path / "run"))
+    stages.walk(run, [str(tmp_path / "home")])
+    out = stages.scan(run, scoring.LocalJudge(), cap=850 * 7 * S.PRICE_PER_MILLION / 1e6, batch_size=4, use_prefilter=True)
+    assert out.stopped == "cap" and out.judged == 4  # one directory, the canary and four files
+
+
+def test_a_stream_over_its_cap_loses_no_row(spark, tmp_path):
+    for i in range(3):
+        _write(tmp_path / "f" / f"{i}.txt", f"some notes {i} " * 5)
+    inv, _ = filesystem.inventory(spark, [str(tmp_path / "f")])
+    logs.overwrite(inv, str(tmp_path / "inv"))
+    start = lambda cap, judge=scoring.LocalJudge(): scan.start_stream(spark, str(tmp_path / "inv"), judge, str(tmp_path / "log"), str(tmp_path / "cp"), cap).awaitTermination()
+    with pytest.raises(Exception, match="cap"):
+        start(0.0)
+    assert not logs.exists(spark, str(tmp_path / "log"))
+    start(5.0)
+    assert logs.results(spark, str(tmp_path / "log")).count() == 3
+
+
 def test_categories_of_rules_are_all_known():
     assert set(rules.EXTENSIONS) | {"binary"} == set(S.FILE_CATEGORIES)
