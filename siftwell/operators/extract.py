@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import codecs
 import email
+import email.message
 import email.policy
 import re
 import zipfile
@@ -87,20 +88,34 @@ def _legacy_doc(path: str) -> tuple[str | None, str]:
 
 
 def _message(data: bytes) -> tuple[str | None, str]:
+    """Headers, an empty line, and the first plain part, attached ones too, or else the first of HTML."""
     message = email.message_from_bytes(data, policy=email.policy.default)
-    lines = [f"{name}: {message[name]}" for name in ("From", "To", "Date", "Subject") if message[name]]
-    body = message.get_body(("plain",))
-    markup = None if body else message.get_body(("html",))
-    if body or markup:
-        found = (body or markup).get_payload(decode=True) or b""
-        text = sanitized(found) or ""
-        lines.append(_TAG.sub(" ", text) if markup else text)
-    return _told("\n".join(lines).strip()[: S.EXCERPT_CHARS])
+    headers = "\n".join(f"{name}: {message[name]}" for name in ("From", "To", "Date", "Subject") if message[name])
+    body = _part(message, "text/plain")
+    if body is None:
+        body = _TAG.sub(" ", _part(message, "text/html") or "")
+    text = "\n\n".join(filter(None, (headers, body))).strip()
+    return (text[: S.EXCERPT_CHARS], "ok") if text else (None, "no_text")
+
+
+def _part(message: email.message.Message, kind: str) -> str | None:
+    """The text of the first part of a kind that can be read."""
+    for part in message.walk():
+        if part.get_content_type() == kind:
+            try:
+                return str(part.get_content())
+            except (LookupError, ValueError):  # an unknown charset
+                continue
+    return None
 
 
 def _emlx(path: str) -> tuple[str | None, str]:
-    first, _, rest = _head(path).partition(b"\n")
-    return _message(rest[: int(first.strip())])  # a bad length is an error
+    first, line, rest = _head(path, S.READ_BYTES + 64).partition(b"\n")
+    try:
+        data = rest[: int(first.strip())] if line else b""
+    except ValueError:
+        data = b""
+    return _message(data) if data else (None, "no_text")
 
 
 def _office(path: str, ext: str) -> tuple[str | None, str]:
@@ -109,9 +124,9 @@ def _office(path: str, ext: str) -> tuple[str | None, str]:
             info = archive.NameToInfo.get(member)
             if info is not None and info.file_size <= S.MEMBER_CEILING:
                 with archive.open(info) as file:
-                    text = _TAG.sub(" ", file.read(S.MEMBER_CEILING).decode("utf-8", "replace"))
-                return _told(" ".join(text.split())[: S.EXCERPT_CHARS])
-    return "", "no_text"
+                    text = _TAG.sub(" ", file.read(S.READ_BYTES).decode("utf-8", "replace"))
+                return (text[: S.EXCERPT_CHARS], "ok") if text.strip() else (None, "no_text")
+    return None, "no_text"
 
 
 def _pdf(path: str) -> tuple[str | None, str]:

@@ -40,9 +40,12 @@ def test_extract(tmp_path):
         "a.exe": (b"text", "binary", "unsupported", None),
         "a.odt": (b"zip", "doc", "unsupported", None),
         "a.doc": (b"\x00\x01abcd\x02ef\x03ghijk", "doc", "ok", "abcd ghijk"),
-        "a.eml": (b"From: a@b\r\nSubject: hi\r\n\r\nbody", "text", "ok", "From: a@b\nSubject: hi\nbody"),
-        "h.eml": (b"From: a@b\r\nContent-Type: text/html\r\n\r\n<p>body</p>", "text", "ok", "From: a@b\n body"),
-        "bad.emlx": (b"many\nFrom: a@b\n\nx", "text", "error", None),
+        "a.eml": (b"From: a@b\r\nSubject: hi\r\n\r\nbody", "text", "ok", "From: a@b\nSubject: hi\n\nbody"),
+        "h.eml": (b"From: a@b\r\nContent-Type: text/html\r\n\r\n<p>body</p>", "text", "ok", "From: a@b\n\n body"),
+        "bad.emlx": (b"many\nFrom: a@b\n\nx", "text", "no_text", None),
+        "noline.emlx": (b"123", "text", "no_text", None),
+        "empty.eml": (b"", "text", "no_text", None),
+        "attached.eml": (b'Subject: s\r\nContent-Type: multipart/mixed; boundary="b"\r\n\r\n--b\r\nContent-Type: text/html\r\n\r\n<p>h</p>\r\n--b\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename="n.txt"\r\n\r\nplain\r\n--b--\r\n', "text", "ok", "Subject: s\n\nplain"),
     }
     for name, (data, category, status, text) in cases.items():
         _write(tmp_path / name, data)
@@ -50,11 +53,11 @@ def test_extract(tmp_path):
         assert extract.extract(str(tmp_path / name), category, ext, len(data)) == (text, status), name
     message = b"From: a@b\n\nhello"
     _write(tmp_path / "m.emlx", str(len(message)).encode() + b"\n" + message + b"<plist/>")
-    assert extract.extract(str(tmp_path / "m.emlx"), "text", "emlx", 50) == ("From: a@b\nhello", "ok")
+    assert extract.extract(str(tmp_path / "m.emlx"), "text", "emlx", 50) == ("From: a@b\n\nhello", "ok")
     _docx(tmp_path / "d.docx")
-    assert extract.extract(str(tmp_path / "d.docx"), "doc", "docx", 50) == ("Hello there", "ok")
+    assert extract.extract(str(tmp_path / "d.docx"), "doc", "docx", 50) == (" Hello  there  ", "ok")
     _docx(tmp_path / "big.docx", size=S.MEMBER_CEILING + 1)
-    assert extract.extract(str(tmp_path / "big.docx"), "doc", "docx", 50) == ("", "no_text")
+    assert extract.extract(str(tmp_path / "big.docx"), "doc", "docx", 50) == (None, "no_text")
     assert extract.extract(str(tmp_path / "absent.txt"), "text", "txt", 50) == (None, "error")
 
 
