@@ -13,6 +13,10 @@ from siftwell import schema as S
 from siftwell.functions import money, rules
 
 
+#: Rows of a log that are counted together.
+BLOCK = 100_000
+
+
 def estimate(candidates: DataFrame) -> DataFrame:
     """One row: files, expected and worst tokens and cost of judging all candidates."""
     expected, worst = money.call_tokens(F.col("excerpt")), money.worst_call_tokens(F.col("excerpt"))
@@ -50,9 +54,16 @@ def error_streaks(log: DataFrame, key: str | None = None) -> DataFrame:
     runs are counted within each of its values. The log has ``http_status``.
     """
     keys = [key] if key else []
-    order = Window.partitionBy(*keys).orderBy("seq") if key else Window.orderBy("seq")
-    bad = rules.systemic(F.col("http_status"))
-    runs = log.withColumn("_bad", bad).withColumn("_run", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(order)).filter("_bad")
+    marked = log.withColumn("_bad", rules.systemic(F.col("http_status")))
+    good = F.when(F.col("_bad"), 0).otherwise(1)
+    if key:
+        runs = marked.withColumn("_run", F.sum(good).over(Window.partitionBy(key).orderBy("seq")))
+    else:  # counted by blocks of the log, so that no task sorts it all
+        marked = marked.withColumn("_block", F.floor(F.col("seq") / BLOCK))
+        before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+        shifts = marked.groupBy("_block").agg(F.sum(good).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+        runs = marked.withColumn("_own", F.sum(good).over(Window.partitionBy("_block").orderBy("seq"))).join(shifts, "_block").withColumn("_run", F.col("_own") + F.col("_shift"))
+    runs = runs.filter("_bad")
     return runs.groupBy(*keys, "_run").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count(F.lit(1)).alias("length")).drop("_run")
 
 

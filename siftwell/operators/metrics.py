@@ -47,6 +47,20 @@ def flips(pairs: DataFrame, before: Column, after: Column) -> DataFrame:
     return pairs.agg(F.avg(F.when(before != after, 1.0).otherwise(0.0)).alias("flip_rate"), F.count(F.lit(1)).alias("pairs"))
 
 
+def crossings(pairs: DataFrame, before: Column, after: Column) -> DataFrame:
+    """One row: rows that crossed a threshold either way, and precision and recall of the later flag by the earlier."""
+    both = F.count_if(before & after)
+    return pairs.agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if(before & ~after).alias("lost"), F.count_if(~before & after).alias("gained"),
+        (both / F.nullif(F.count_if(after), F.lit(0))).alias("precision"), (both / F.nullif(F.count_if(before), F.lit(0))).alias("recall"),
+    )
+
+
+def kinds(decisions: DataFrame) -> DataFrame:
+    """Directories and their files by the kind they were judged to be."""
+    return decisions.groupBy("kind").agg(F.count(F.lit(1)).alias("directories"), F.sum("file_count").alias("files"))
+
+
 def threshold_recall(results: DataFrame, decisions: DataFrame, threshold: float, wanted: Column | None = None) -> DataFrame:
     """What a directory threshold keeps: recall of the wanted rows, and the share of all rows saved.
 

@@ -42,10 +42,11 @@ def collapse_siblings(rows: DataFrame, group: list[str], order: list[Column], mo
     those the rows had before.
     """
     keys = [*group, directory]
-    w = Window.partitionBy(*keys)
-    numbered = rows.withColumn("_pos", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    kept = numbered.filter(F.col("_pos") <= most + 1)
-    return kept.withColumn("hidden", F.when(F.col("_pos") > most, F.col("_n") - most).otherwise(0)).drop("_pos", "_n")
+    # ranked rows are cut before the shuffle and counts are combined there, so a directory of any size makes no large group
+    kept = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_pos") <= most + 1)
+    counts = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    joined = kept.join(counts, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return joined.withColumn("hidden", F.when(F.col("_pos") > most, F.col("_n") - most).otherwise(0)).drop("_pos", "_n", *[f"_{k}" for k in keys])
 
 
 def split_sections(ranked: DataFrame) -> DataFrame:
@@ -70,5 +71,5 @@ def ocr_candidates(latest: DataFrame, top: int = S.OCR_TOP, min_value: float = S
 def stratified_sample(rows: DataFrame, per_bucket: int, seed: int = S.SAMPLE_SEED) -> DataFrame:
     """Up to ``per_bucket`` rows of each value bucket [0, 1), [1, 2), [2, 3], by a seeded hash of the key."""
     bucket = F.least(F.floor("value_score"), F.lit(2))
-    w = Window.partitionBy("bucket").orderBy(F.xxhash64("dedupe_key", F.lit(seed)), "dedupe_key")
+    w = Window.partitionBy("bucket").orderBy(F.md5(F.concat("dedupe_key", F.lit(str(seed)))), "dedupe_key")
     return rows.filter("value_score is not null").withColumn("bucket", bucket).withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= per_bucket)

@@ -130,26 +130,32 @@ def marker_skip(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("skipped", rules.is_skipped_beside(F.col("name"), F.array(F.lower("beside"))))
 
 
-_RESOLVED = "SELECT dedupe_key FROM inventory WHERE seq % 4 = 0"
-
-
 @_query(f"""
-    WITH {O.INVENTORY} SELECT seq, path, dedupe_key FROM inventory
-    WHERE dup_of IS NULL AND category <> 'generated' AND ext NOT IN ('py') AND dedupe_key NOT IN ({_RESOLVED}) ORDER BY seq LIMIT 200
+    WITH {O.KEYED} SELECT seq, path, dedupe_key FROM inventory
+    WHERE dup_of IS NULL AND category <> 'generated' AND ext NOT IN ('py') AND dedupe_key NOT IN (SELECT dedupe_key FROM keyed_log WHERE error IS NULL)
 """)
 def eligible_records(spark: SparkSession, folder: str) -> DataFrame:
-    inventory = A.inventory(spark, folder)
-    return selection.eligible(inventory, inventory.filter("seq % 4 = 0"), exclude_exts=selection.parse_exts(".PY"), limit=200).select("seq", "path", "dedupe_key")
+    resolved = folds.resolved_keys(A.keyed_log(spark, folder))
+    return selection.eligible(A.inventory(spark, folder), resolved, exclude_exts=selection.parse_exts(".PY")).select("seq", "path", "dedupe_key")
 
 
 @_query(f"""
-    WITH {O.INVENTORY} SELECT seq, path, dedupe_key FROM inventory
-    WHERE dup_of IS NULL AND category <> 'generated' AND dedupe_key IN (SELECT dedupe_key FROM inventory WHERE seq % 3 = 0)
-      AND dedupe_key IN (SELECT dedupe_key FROM inventory WHERE seq % 2 = 0)
+    WITH {O.KEYED}, last AS (SELECT * FROM inventory QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY seq DESC) = 1),
+    readable AS (SELECT dedupe_key FROM last
+        WHERE category IN ('text', 'code') OR ext IN {O._in(rules.READABLE_DOCS)} OR (category = 'binary' AND ext NOT IN {O._in(rules.NEVER_SNIFFED)} AND size <= {S.SNIFF_CEILING}))
+    SELECT seq, path, dedupe_key FROM inventory
+    WHERE dup_of IS NULL AND category <> 'generated'
+      AND dedupe_key IN (SELECT dedupe_key FROM keyed_latest WHERE error IS NULL AND rubric_version IS DISTINCT FROM {S.RUBRIC_VERSION})
+      AND dedupe_key IN (SELECT dedupe_key FROM keyed_latest WHERE error IS NULL
+            AND CASE WHEN extraction_status IS NOT NULL THEN extraction_status <> 'ok' ELSE category NOT IN {O._in(rules.HASHED_CATEGORIES)} END)
+      AND dedupe_key IN (SELECT dedupe_key FROM readable)
 """)
 def rescan_only_keys(spark: SparkSession, folder: str) -> DataFrame:
-    inventory = A.inventory(spark, folder)
-    return selection.eligible(inventory, inventory, selection.all_of(inventory.filter("seq % 3 = 0"), inventory.filter("seq % 2 = 0"))).select("seq", "path", "dedupe_key")
+    """Keys judged by name alone under another rubric, taken again although they are resolved."""
+    inventory, log = A.inventory(spark, folder), A.keyed_log(spark, folder)
+    latest = folds.results_latest(log)
+    only = selection.all_of(selection.outdated_keys(latest), selection.name_only_keys(latest, inventory))
+    return selection.eligible(inventory, folds.resolved_keys(log), only).select("seq", "path", "dedupe_key")
 
 
 @_query(f"""
@@ -212,6 +218,16 @@ def error_streaks(spark: SparkSession, folder: str) -> DataFrame:
     return budget.error_streaks(A.log(spark, folder), "dedupe_key")
 
 
+@_query(f"""
+    WITH {O.LOG}, r AS (SELECT *, coalesce(http_status IN (401, 402, 403), false) AS bad FROM log),
+    s AS (SELECT *, sum((NOT bad)::INT) OVER (ORDER BY seq) AS run FROM r)
+    SELECT min(seq) AS start_seq, max(seq) AS end_seq, count(*) AS length FROM s WHERE bad GROUP BY run
+""")
+def log_streaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The streaks that open the breaker: over the whole log, whatever file a call was for."""
+    return budget.error_streaks(A.log(spark, folder))
+
+
 @_query(f"""
     WITH {O.LOG} SELECT seq, CASE WHEN error IS NOT NULL THEN 0 ELSE CASE WHEN seq % 3 = 0 THEN 900 ELSE input_tokens END END::BIGINT AS billed FROM log
 """)
@@ -493,19 +509,26 @@ def top_per_group(spark: SparkSession, folder: str) -> DataFrame:
     return A.table(spark, folder, "lineitem").withColumn("r", F.row_number().over(best)).filter("r <= 3").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+_SIZES = " ".join(f"WHEN n < {1024 ** (p + 1)} THEN round_even(n / {1024**p}.0::DOUBLE, 0)::BIGINT || '{u}'" for p, u in enumerate(("B", "KB", "MB", "GB")))
+
+
 @_query(f"""
-    WITH {O.FILES} SELECT seq, CASE WHEN size < 1024 THEN size || 'B' ELSE (round_even(size / 1024.0::DOUBLE, 0)::BIGINT) || 'KB' END AS shown FROM files WHERE size < 1000000
+    WITH {O.FILES}, steps AS (SELECT seq, step, size * (1::BIGINT << step) AS n FROM files, (SELECT unnest([0, 10, 19, 30]) AS step))
+    SELECT seq, step, CASE {_SIZES} ELSE round_even(n / {1024**4}.0::DOUBLE, 0)::BIGINT || 'TB' END AS shown FROM steps
 """)
 def format_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return A.files(spark, folder).filter("size < 1000000").select("seq", rules.format_size(F.col("size")).alias("shown"))
+    """Every size, and its multiples by which all units come up."""
+    rows = A.files(spark, folder).withColumn("step", F.explode(F.array(*map(F.lit, (0, 10, 19, 30)))))
+    return rows.select("seq", "step", rules.format_size(F.col("size") * F.expr("shiftleft(1L, step)")).alias("shown"))
 
 
 @_query("""
-    SELECT page_id, regexp_extract(url, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(url, '[^/]*$'), '^.+\\.([^.]+)$', 1)) AS ext FROM pages WHERE url NOT LIKE '%/'
+    SELECT page_id, parts[-1] AS name, lower(regexp_extract(parts[-1], '^.+\\.([^.]+)$', 1)) AS ext FROM (SELECT page_id, string_split(url, '/') AS parts FROM pages)
 """)
 def split_names(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.regexp_extract("url", "[^/]*$", 0)
-    return A.table(spark, folder, "pages").filter("url not like '%/'").select("page_id", name.alias("name"), paths.extension(name).alias("ext"))
+    """What stands behind the last slash, which may be nothing."""
+    name = F.element_at(F.split("url", "/"), -1)
+    return A.table(spark, folder, "pages").select("page_id", name.alias("name"), paths.extension(name).alias("ext"))
 
 
 @_query(f"WITH {O.FILES} SELECT seq, substr(path, length('/src1/') + 1) AS below FROM files WHERE starts_with(path, '/src1/')")
@@ -532,7 +555,10 @@ def union_of_roots(spark: SparkSession, folder: str) -> DataFrame:
     return first.unionByName(rows.filter(paths.name(F.col("dir")) == "de")).select("seq", "path")
 
 
-@_query()
+@_query(f"""
+    WITH {O.JUDGED} SELECT least(floor(value_score), 2)::BIGINT AS bucket, row_number() OVER (PARTITION BY least(floor(value_score), 2) ORDER BY md5(dedupe_key || '{S.SAMPLE_SEED}'), dedupe_key)::INTEGER AS pick, path, value_score
+    FROM latest WHERE value_score IS NOT NULL QUALIFY pick <= 20
+""")
 def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.stratified_sample(A.judged(spark, folder), 20).select("bucket", "pick", "path", "value_score")
 
@@ -544,24 +570,88 @@ def local_score_docs(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.judge_files(rows, scoring.LocalJudge()).select("seq", "path", "value_score", "input_tokens", "error", "rubric_version")
 
 
-@_query()
-def extract_excerpts(spark: SparkSession, folder: str) -> DataFrame:
-    """Excerpts of this package's own files, read on the executors."""
+_STORED = f"""
+    WITH {O.FILES}, stored AS (
+        SELECT *, row_number() OVER (ORDER BY dir, path) - 1 AS place,
+               CASE WHEN category IN {O._in(rules.HASHED_CATEGORIES)} THEN md5(text) || size ELSE 'meta:' || size || ':' || lower(name) END AS key
+        FROM files WHERE size >= {S.MIN_SIZE})
+"""
+
+
+@_query(f"{_STORED} SELECT path, size, ext, category, CASE WHEN row_number() OVER w > 1 THEN first_value(path) OVER w END AS dup_of, place AS seq FROM stored WINDOW w AS (PARTITION BY key ORDER BY place)")
+def walk_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` written as files and walked: read, hashed and numbered anew."""
     from siftwell.sources import filesystem
 
-    rows = filesystem.listed(spark, [_package()]).filter("error is null").withColumn("ext", paths.extension(F.col("name"))).withColumn("category", rules.categorize(F.col("ext")))
-    return extract.with_excerpts(rows).select("path", "extraction_status", "metadata_only", F.length("excerpt").alias("chars"))
+    base = A.stored(spark, folder)
+    found = filesystem.inventory(spark, [base])[0]
+    return found.select(*(F.substring(c, len(base) + 1, 1 << 20).alias(c) for c in ("path",)), "size", "ext", "category", F.expr(f"substring(dup_of, {len(base) + 1})").alias("dup_of"), "seq")
 
 
-@_query()
-def walk_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """This package's own files as an inventory."""
+@_query(f"""
+    {_STORED}, told AS (SELECT path, CASE WHEN category IN ('text', 'code') THEN 'ok' WHEN ext = 'pdf' THEN 'error' ELSE 'unsupported' END AS extraction_status, text FROM stored)
+    SELECT path, extraction_status, extraction_status <> 'ok' AS metadata_only, CASE WHEN extraction_status = 'ok' THEN least(length(text), {S.EXCERPT_CHARS}) END::INTEGER AS chars FROM told
+""")
+def extract_excerpts(spark: SparkSession, folder: str) -> DataFrame:
+    """Excerpts of ``documents`` written as files; those named .pdf are none, and fail."""
     from siftwell.sources import filesystem
 
-    return filesystem.inventory(spark, [_package()])[0].select("path", "size", "ext", "category", "dedupe_key", "dup_of", "seq")
+    base = A.stored(spark, folder)
+    rows = selection.size_floor(filesystem.listed(spark, [base]).filter("error is null")).withColumn("ext", paths.extension(F.col("name"))).withColumn("category", rules.categorize(F.col("ext")))
+    return extract.with_excerpts(rows).select(F.expr(f"substring(path, {len(base) + 1})").alias("path"), "extraction_status", "metadata_only", F.length("excerpt").alias("chars"))
+
 
+_WINDOWS = "'C:\\Data\\' || source || '\\' || lang || '\\' || name"
+
+
+@_query(f"""
+    WITH {O.FILES} SELECT seq, 'C:\\Data\\' || source || '\\' || lang AS up, name, 'C:\\Data\\' || source AS second, '\\\\server\\share\\' || source AS unc_up, {_WINDOWS} AS plain FROM files
+""")
+def windows_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Drive and network paths taken apart: parent, name, an ancestor, the long prefix stripped."""
+    drive = F.concat(F.lit("C:\\Data\\"), F.col("source"), F.lit("\\"), F.col("lang"), F.lit("\\"), F.col("name"))
+    share = F.concat(F.lit("\\\\server\\share\\"), F.col("source"), F.lit("\\"), F.col("name"))
+    rows = A.files(spark, folder).withColumn("source", F.split("path", "/")[1]).withColumn("lang", F.split("path", "/")[2])
+    return rows.select(
+        "seq", paths.parent(drive).alias("up"), paths.name(drive).alias("name"), paths.ancestors(drive)[2].alias("second"), paths.parent(share).alias("unc_up"),
+        paths.strip_extended(F.concat(F.lit("\\\\?\\"), drive)).alias("plain"),
+    )
+
+
+@_query(f"""
+    WITH {O.FILES}, sizes AS (SELECT dir, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY dir HAVING count(*) >= {S.LISTING_FLOOR})
+    SELECT dir AS path, n AS file_count, bytes AS total_bytes, least(n, {S.LISTING_NAMES})::INTEGER AS names, 0 AS subdirectories FROM sizes
+""")
+def listing_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON a directory judge is asked with, parsed again."""
+    files = A.files(spark, folder)
+    kinds = "path string, file_count bigint, total_bytes bigint, file_names_sample array<string>, subdirectory_count int"
+    parsed = listings.state(listings.listings(files, files)).select(F.from_json("state", kinds).alias("s"))
+    return parsed.select("s.path", "s.file_count", "s.total_bytes", F.size("s.file_names_sample").alias("names"), F.col("s.subdirectory_count").alias("subdirectories"))
+
+
+@_query(f"""
+    WITH {O.JUDGED} SELECT path, split_part(path, '/', 4) AS name, ext, size, CASE WHEN seq % 5 <> 0 THEN 'The content could not be read; judge by name and place.' ELSE 'text of ' || path END AS excerpt,
+    seq % 5 <> 0 AS metadata_only, seq % 5 = 0 AS content_readable FROM latest
+""")
+def file_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON a file judge is asked with, parsed again."""
+    rows = A.judged(spark, folder).withColumn("excerpt", F.concat(F.lit("text of "), "path")).withColumn("mtime", F.lit(0.0))
+    kinds = "path string, name string, ext string, size bigint, excerpt string, metadata_only boolean, content_readable boolean"
+    return rows.select(F.from_json(scoring.file_state(), kinds).alias("s")).select("s.*")
+
+
+@_query(f"""
+    WITH {O.JUDGED}, r AS (SELECT value_score AS a, credentials * 3.0::DOUBLE AS b FROM latest WHERE value_score IS NOT NULL)
+    SELECT count(*) AS pairs, count(*) FILTER (a >= 2.0 AND b < 2.0) AS lost, count(*) FILTER (a < 2.0 AND b >= 2.0) AS gained,
+           (count(*) FILTER (a >= 2.0 AND b >= 2.0))::DOUBLE / nullif(count(*) FILTER (b >= 2.0), 0) AS "precision",
+           (count(*) FILTER (a >= 2.0 AND b >= 2.0))::DOUBLE / nullif(count(*) FILTER (a >= 2.0), 0) AS recall FROM r
+""")
+def threshold_crossings(spark: SparkSession, folder: str) -> DataFrame:
+    rows = A.judged(spark, folder).filter("value_score is not null").select(F.col("value_score").alias("a"), (rules.probability("credentials") * 3.0).alias("b"))
+    return metrics.crossings(rows, F.col("a") >= S.MIN_VALUE, F.col("b") >= S.MIN_VALUE)
 
-def _package() -> str:
-    from pathlib import Path
 
-    return str(Path(__file__).resolve().parents[1])
+@_query(f"WITH {O.DECISIONS} SELECT 'owner_code' AS kind, count(*) AS directories, sum(file_count)::BIGINT AS files FROM decisions HAVING count(*) > 0")
+def kind_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.kinds(_decisions(spark, folder))

@@ -88,6 +88,17 @@ ocr_log AS (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY seq DESC) AS place FROM ocr_log) WHERE place = 1 AND ocr_status = 'ok' AND excerpt <> ''
 )"""
 
+KEYED = (
+    INVENTORY
+    + f""", keyed_log AS (
+    SELECT dedupe_key, category, ext, CASE WHEN seq % 7 <> 0 THEN {_pick(STATUSES, "seq")} END AS extraction_status,
+           CASE WHEN seq % 3 <> 0 THEN (seq % 2 + 1)::INTEGER END AS rubric_version, CASE WHEN seq % 17 = 0 THEN 'bad' END AS error, seq
+    FROM inventory
+), keyed_latest AS (
+    SELECT * FROM keyed_log QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY (error IS NULL)::INT DESC, seq DESC) = 1
+)"""
+)
+
 LABEL = "CASE WHEN extraction_status IS NULL THEN 'unknown' WHEN extraction_status = 'ocr' THEN 'ocr' WHEN extraction_status = 'ok' THEN 'content' ELSE 'name-only' END"
 VALID = "(error IS NULL AND value_score IS NOT NULL)"
 VERIFIED = "coalesce(extraction_status IN ('ok', 'ocr'), false)"

@@ -82,6 +82,37 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def keyed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A results log over the keys of ``inventory``: ``judged``, of which duplicates share their key."""
+    keys = inventory(spark, folder).select("seq", F.col("dedupe_key").alias("_key"))
+    return judged(spark, folder).drop("first_seq").join(keys, "seq").withColumn("dedupe_key", F.col("_key")).drop("_key")
+
+
+def stored(spark: SparkSession, folder: str) -> str:
+    """``documents`` written as files below a new folder of the shared one; returns it."""
+    import os
+    import uuid
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = f"/{shared.removeprefix('file:').strip('/')}/stored-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(base + path), exist_ok=True)
+                with open(base + path, "wb") as file:
+                    file.write(text.encode())
+            yield batch.slice(0, 0).select(["path"])
+
+    files(spark, folder).filter("text is not null").select("path", "text").mapInArrow(write, "path string").count()
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"file://{base}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return base
+
+
 def decisions(spark: SparkSession, folder: str) -> DataFrame:
     """A prefilter log over the directories of ``files``, three asked rounds of which some fail."""
     dirs = files(spark, folder).groupBy(paths.parent(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("file_count"), F.min("seq").alias("n"))
