@@ -75,7 +75,14 @@ class Features:
         left = ends[owner] - np.arange(n)
         weight = 1 / np.sqrt(np.maximum(1.0, 2.0 * lengths - 5))[owner]
         valid = np.stack((left >= 3, left >= 4)) * weight
-        return cls(word, np.stack((three, four)) % CHAR_BUCKETS, valid.astype(np.float32), ends - lengths, owner)
+        return cls(word, (np.stack((three, four)) % CHAR_BUCKETS).astype(np.int32), valid.astype(np.float32), ends - lengths, owner)
+
+    def take(self, rows: np.ndarray) -> Features:
+        """The same of some of the words."""
+        lengths = np.diff(self.starts, append=len(self.owner))[rows]
+        starts = np.cumsum(lengths) - lengths
+        at = np.arange(lengths.sum()) + np.repeat(self.starts[rows] - starts, lengths)
+        return Features(self.word[rows], self.piece[:, at], self.valid[:, at], starts, np.repeat(np.arange(len(rows)), lengths))
 
     def vectors(self, p: Params) -> np.ndarray:
         """(words, WORD_DIM + CHAR_DIM)."""
@@ -157,6 +164,7 @@ def backward(p: Params, at: np.ndarray, trace: dict, d: np.ndarray, grads: Param
     grads["attend_bias"] += d_a.sum((0, 1))
     d_states = alpha[..., None] * d_pooled + d_a @ p["attend"].T
     dh = np.zeros((2, n, HIDDEN), np.float32)
+    flow = np.empty((2, length, n, 3 * HIDDEN), d_table.dtype)
     for t in range(length - 1, -1, -1):
         h, zr, c, uc = trace["trail"][t]
         z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
@@ -168,8 +176,13 @@ def backward(p: Params, at: np.ndarray, trace: dict, d: np.ndarray, grads: Param
         du = np.concatenate((dz, dr, dc * r), axis=-1)
         grads["state"] += np.swapaxes(h, 1, 2) @ du
         dh = dh * z + du @ np.swapaxes(p["state"], 1, 2)
-        for k, rows in ((0, at[:, t]), (1, at[:, length - 1 - t])):
-            np.add.at(d_table[k], rows, dx[k])
+        flow[0, t], flow[1, length - 1 - t] = dx
+    # sums per row of the table, of rows brought together by one sort
+    rows = at.T.ravel()
+    order = np.argsort(rows, kind="stable")
+    firsts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    for k in (0, 1):
+        d_table[k, rows[order[firsts]]] += np.add.reduceat(flow[k].reshape(len(rows), -1)[order], firsts, axis=0)
 
 
 def windows(n: int, stride: int = STRIDE) -> np.ndarray:
@@ -243,7 +256,7 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS, seed:
     split = [words_of(t) for t in texts]
     known = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
     names = list(known)
-    rows = [np.array([known[w] for w in s]) for s in split]
+    rows, every = [np.array([known[w] for w in s]) for s in split], Features.of(names)
     p, rng = initial(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
@@ -257,7 +270,7 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS, seed:
             own = order[b : b + DOCS_A_STEP]
             picked, inverse = np.unique(np.concatenate([rows[i] for i in own]), return_inverse=True)
             local = np.split(inverse, np.cumsum([len(rows[i]) for i in own])[:-1])
-            features = Features.of([names[i] for i in picked])
+            features = every.take(picked)
             vectors = features.vectors(p)
             table = gates(p, vectors)
             runs = [(owner, at, *forward(p, table, at, keep=True)) for owner, at in _by_length(local)]
@@ -309,14 +322,15 @@ def is_held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model:
     """Train on labelled rows outside the held-out quarter.
 
-    Of each label twice the ``sample`` ids with the least hash are looked up,
-    and the first with texts of up to ``SAMPLE_CHARS`` characters are used, so
-    that the driver holds a bounded sample. Rows with null ids, labels or texts are not learned from.
+    Of the ids of each label with a text of up to ``SAMPLE_CHARS`` characters
+    those with the least hash are used, ``sample`` rows of each, so that the
+    driver holds a bounded sample. Rows with null ids, labels or texts are not
+    learned from.
     """
     sample = SAMPLE if sample is None else sample
-    known = labels.filter("doc_id is not null").filter(~is_held_out(F.col("doc_id")))
-    ids = kept(sampled_ids(known, "doc_id", "toxic", {y: 2 * n for y, n in sample.items()}), "sample")  # bounded: twice the sample
     own = docs.filter("doc_id is not null and text is not null").filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").alias("id"), "text")
+    known = labels.filter("doc_id is not null").filter(~is_held_out(F.col("doc_id"))).join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    ids = kept(sampled_ids(known, "doc_id", "toxic", {y: 2 * n for y, n in sample.items()}), "sample")  # bounded: twice the sample
     rows = sorted((r["class"], r["mark"], r["id"], r["text"]) for r in own.join(F.broadcast(ids), "id").collect())
     picked = [[r for r in rows if r[0] == y][:n] for y, n in sample.items()]
     return train([r[3] for part in picked for r in part], [r[0] for part in picked for r in part])

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -73,6 +74,70 @@ def test_every_window_counts_and_batches_do_not_matter(model):
     assert toxicity.windows(100).tolist() == [0, 24, 48, 68] and toxicity.windows(3).tolist() == [0] and toxicity.windows(32).tolist() == [0]
 
 
+def plain_score(model, text):
+    """The score of one text, a number at a time."""
+    p = {k: v.astype(np.float64) for k, v in model.params.items()}
+    words = (text or "").lower().split() or [""]
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    def vector(word):
+        out = list(p["word"][zlib.crc32(word.strip(toxicity.PUNCTUATION).encode()) % toxicity.WORD_BUCKETS])
+        codes = [ord(c) for c in f"\x02{word}\x03"]
+        sums = [0.0] * toxicity.CHAR_DIM
+        scale = 1 / math.sqrt(max(1, 2 * len(codes) - 5))
+        for n in (3, 4):
+            for i in range(len(codes) - n + 1):
+                three = codes[i] * 7919 + codes[i + 1] * 104_729 + codes[i + 2] * 1_299_709
+                at = three if n == 3 else three * 31 + codes[i + 3] * 15_485_863 + 17
+                for k in range(toxicity.CHAR_DIM):
+                    sums[k] += p["char"][at % toxicity.CHAR_BUCKETS][k] * scale
+        return out + sums
+
+    def states(vectors, d):
+        h, out = [0.0] * toxicity.HIDDEN, []
+        for x in vectors if d == 0 else vectors[::-1]:
+            gate = [p["in_bias"][d][0][j] + sum(v * p["in"][d][i][j] for i, v in enumerate(x)) for j in range(3 * toxicity.HIDDEN)]
+            u = [sum(v * p["state"][d][i][j] for i, v in enumerate(h)) for j in range(3 * toxicity.HIDDEN)]
+            new = []
+            for j in range(toxicity.HIDDEN):
+                z, r = sigmoid(gate[j] + u[j]), sigmoid(gate[toxicity.HIDDEN + j] + u[toxicity.HIDDEN + j])
+                c = math.tanh(gate[2 * toxicity.HIDDEN + j] + r * u[2 * toxicity.HIDDEN + j])
+                new.append(z * h[j] + (1 - z) * c)
+            h = new
+            out.append(h)
+        return out if d == 0 else out[::-1]
+
+    best = -math.inf
+    starts = [*range(0, max(0, len(words) - toxicity.SPAN), toxicity.SCORE_STRIDE), max(0, len(words) - toxicity.SPAN)]
+    for start in starts:
+        vectors = [vector(w) for w in words[start : start + toxicity.SPAN]]
+        both = [a + b for a, b in zip(states(vectors, 0), states(vectors, 1), strict=True)]
+        energy = [sum(math.tanh(p["attend_bias"][k] + sum(v * p["attend"][i][k] for i, v in enumerate(s))) * p["attend_out"][k] for k in range(toxicity.ATTEND)) for s in both]
+        weights = [math.exp(e) for e in energy]
+        pooled = [sum(w * s[i] for w, s in zip(weights, both, strict=True)) / sum(weights) for i in range(2 * toxicity.HIDDEN)]
+        best = max(best, p["out_bias"][0] + sum(v * p["out"][i] for i, v in enumerate(pooled)))
+    return sigmoid((best - model.centre) * model.scale + math.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD)))
+
+
+def test_scores_against_plain_loops(model):
+    texts = ["", None, "one", "Zgrub, vexnok!", "aeiou lmn rst " * 25, " ".join(t for t, _ in _labelled(4, 9))]
+    assert np.allclose(model.scores(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_long_texts_do_not_use_up_the_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * 5000 if i % 10 else f"short {i}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    seen = []
+    train, toxicity.train = toxicity.train, lambda texts, truth: seen.extend(zip(texts, truth, strict=True))
+    try:
+        toxicity.fit(docs, labels, {1: 40, 0: 40})
+    finally:
+        toxicity.train = train
+    assert len(seen) == 80 and all(len(t) < 20 for t, _ in seen)
+
+
 def test_a_passage_counts_wherever_it_starts(model):
     clean, passage = "aeiou lmn rst".split() * 40, "lmn rst zgrub aeiou lmn vexnok rst lmn aeiou qwarl lmn rst zgrub lmn aeiou rst vexnok".split()
     texts = [" ".join([*clean[:i], *passage, *clean[i:]]) for i in range(len(clean) + 1)]
