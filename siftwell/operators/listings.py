@@ -9,6 +9,10 @@ from siftwell import schema as S
 from siftwell.functions import paths
 
 
+#: Rows of a directory from which it is ordered by ranges, and how many ranges it gets.
+RANGE_ROWS, RANGES = 50_000, 256
+
+
 def ext_histogram(files: DataFrame, top: int = S.LISTING_EXTS) -> DataFrame:
     """Rows (path, extensions): the commonest extensions of each directory, ties by first appearance."""
     counts = files.groupBy("dir", F.when(F.col("ext") == "", "(none)").otherwise(F.col("ext")).alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
@@ -17,10 +21,34 @@ def ext_histogram(files: DataFrame, top: int = S.LISTING_EXTS) -> DataFrame:
     return kept.groupBy(F.col("dir").alias("path")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("extensions"))
 
 
-def name_sample(files: DataFrame, most: int = S.LISTING_NAMES) -> DataFrame:
-    """Rows (path, pos, name): evenly spaced names of each directory in the order of their lower case."""
-    order = Window.partitionBy("dir").orderBy(F.lower("name"), "seq")
-    numbered = files.select("dir", "name", (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("dir")).alias("n"))
+def _ranged(files: DataFrame, range_rows: int) -> DataFrame:
+    """``files`` (dir, low, seq, ...) with ``_range``, by which large directories are sorted in parts.
+
+    It is 0 in a directory of up to ``range_rows`` rows. In a larger one it is
+    the number of cut points at or before the row; those are the rows of least
+    hash there, so each range is a small share of the directory.
+    """
+    spread = Window.partitionBy("dir").orderBy(F.xxhash64("low", "seq"), "seq")
+    key = F.struct("low", "seq")
+    cuts = files.select("dir", key.alias("_cut"), F.row_number().over(spread).alias("_pick")).filter(F.col("_pick") < RANGES)
+    large = files.groupBy("dir").count().filter(F.col("count") > range_rows)
+    edges = cuts.join(large, "dir", "left_semi").groupBy("dir").agg(F.array_sort(F.collect_list("_cut")).alias("_edges"))
+    placed = files.join(edges, "dir", "left")
+    return placed.withColumn("_range", F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e <= key)))).drop("_edges")
+
+
+def name_sample(files: DataFrame, most: int = S.LISTING_NAMES, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows (path, pos, name): evenly spaced names of each directory in the order of their lower case.
+
+    No task sorts a directory of more than ``range_rows`` rows whole.
+    """
+    # one column for both keys: rows of a directory would else stay together where the join put them
+    ranged = _ranged(files.select("dir", "name", F.lower("name").alias("low"), "seq"), range_rows).withColumn("_place", F.struct("dir", "_range"))
+    before = Window.partitionBy("dir").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = ranged.groupBy("dir", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    shifts = counts.select(F.struct("dir", "_range").alias("_place"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"), F.sum("_n").over(Window.partitionBy("dir")).alias("n"))
+    own = F.row_number().over(Window.partitionBy("_place").orderBy("low", "seq")) - 1
+    numbered = ranged.withColumn("_own", own).join(shifts, "_place").withColumn("i", F.col("_own") + F.col("_shift"))
     # the k-th pick is floor(k * n / most): i is picked if some k < most maps to it
     step = F.col("n") / F.lit(float(most))
     k = F.ceil(F.col("i") / step)

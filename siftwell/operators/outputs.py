@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from siftwell import schema as S
 from siftwell.functions import paths, rules
 from siftwell.operators import ranking, rollups
+from siftwell.sources import logs
 
 
 def report_csv(latest: DataFrame) -> DataFrame:
@@ -64,15 +66,16 @@ def manifest_rows(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: f
     return latest.filter(rules.is_included(min_value, min_prob)).withColumn("verified", rules.verified_label(F.col("extraction_status")).isin("content", "ocr"))
 
 
-def write_copy_list(rows: DataFrame, folder: str) -> None:
-    """Paths in copy order as text; ranges of the order are written side by side."""
-    rows.orderBy(*ranking.copy_order()).select(F.col("path").alias("value")).write.mode("overwrite").text(folder)
+def write_copy_list(rows: DataFrame, path: str) -> None:
+    """Paths in copy order as one text file; ranges of the order are written side by side."""
+    logs.write_lines(rows.orderBy(*ranking.copy_order()).select(F.col("path").alias("value")), path)
 
 
-def credentials_markdown(latest: DataFrame, min_prob: float = S.CREDENTIAL_WARNING) -> str:
-    """Names and places only; contents are never shown."""
-    rows = rollups.credential_warnings(latest, min_prob).select("path", "credential_prob").collect()
-    return "\n".join(["# Possible credentials", "", *[f"- {r['credential_prob']:.2f} `{r['path']}`" for r in rows], ""])
+def credential_lines(latest: DataFrame, min_prob: float = S.CREDENTIAL_WARNING) -> Iterator[str]:
+    """Names and places only; contents are never shown. Rows come one partition at a time."""
+    yield from ("# Possible credentials", "")
+    for row in rollups.credential_warnings(latest, min_prob).select("path", "credential_prob").toLocalIterator():
+        yield f"- {row['credential_prob']:.2f} `{row['path']}`"
 
 
 def manifest_categories(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: float = S.MANIFEST_MIN_PROB) -> DataFrame:
@@ -93,21 +96,30 @@ def summary_text(rows: DataFrame, min_prob: float = S.MANIFEST_MIN_PROB, top: in
     return "\n".join(lines) + "\n"
 
 
-def write_manifest(latest: DataFrame, folder: str, min_value: float = S.MIN_VALUE, min_prob: float = S.MANIFEST_MIN_PROB) -> None:
-    """Three copy lists, the credential warning, the categories and the summary below a local ``folder``."""
-    rows = manifest_rows(latest, min_value, min_prob)
-    base = Path(folder)
-    base.mkdir(parents=True, exist_ok=True)
-    write_copy_list(rows, str(base / "copy-all"))
-    write_copy_list(rows.filter("verified"), str(base / "copy-verified"))
-    write_copy_list(rows.filter("not verified"), str(base / "copy-name-only"))
-    (base / "credentials.md").write_text(credentials_markdown(latest))
-    shown = manifest_categories(latest, min_value, min_prob).orderBy("category_name", F.desc("probability"), "first_seq").collect()
-    lines = ["# By category", ""]
+def category_lines(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: float = S.MANIFEST_MIN_PROB) -> Iterator[str]:
+    """A heading for each category, then its rows. Rows come one partition at a time."""
+    place = F.array_position(F.array(*map(F.lit, S.CATEGORIES)), F.col("category_name"))
+    shown = manifest_categories(latest, min_value, min_prob).orderBy(place, F.desc("probability"), "first_seq")
+    groups = groupby(shown.toLocalIterator(), key=lambda r: r["category_name"])
+    found = next(groups, None)
+    yield from ("# By category", "")
     for name in S.CATEGORIES:
-        lines += [f"## {name}", "", *[_row_line(r, r["probability"]) for r in shown if r["category_name"] == name], ""]
-    (base / "by-category.md").write_text("\n".join(lines))
-    (base / "summary.txt").write_text(summary_text(rows, min_prob))
+        yield from (f"## {name}", "")
+        if found is not None and found[0] == name:
+            yield from (_row_line(r, r["probability"]) for r in found[1])
+            found = next(groups, None)
+        yield ""
+
+
+def write_manifest(latest: DataFrame, folder: str, min_value: float = S.MIN_VALUE, min_prob: float = S.MANIFEST_MIN_PROB) -> None:
+    """Three copy lists, the credential warning, the categories and the summary below ``folder``."""
+    spark, rows = latest.sparkSession, manifest_rows(latest, min_value, min_prob)
+    write_copy_list(rows, f"{folder}/copy-list.txt")
+    write_copy_list(rows.filter("verified"), f"{folder}/copy-list-verified.txt")
+    write_copy_list(rows.filter("not verified"), f"{folder}/copy-list-name-only.txt")
+    logs.write_text(spark, f"{folder}/credentials.md", credential_lines(latest))
+    logs.write_text(spark, f"{folder}/by-category.md", category_lines(latest, min_value, min_prob))
+    logs.write_text(spark, f"{folder}/summary.txt", [summary_text(rows, min_prob).removesuffix("\n")])
 
 
 def tree(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: float = S.REPORT_MIN_PROB) -> list[dict]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,9 +135,8 @@ def report(run: Run, top: int = S.REPORT_TOP, min_prob: float = S.REPORT_MIN_PRO
     """report.md, report.html and a CSV folder; returns the text."""
     latest = run.latest().persist()
     text = outputs.report_markdown(latest, top, min_prob, min_value)
-    Path(run.folder).mkdir(parents=True, exist_ok=True)
-    Path(run.path("report.md")).write_text(text)
-    Path(run.path("report.html")).write_text(outputs.page(latest, min_value, min_prob))
+    logs.write_text(run.spark, run.path("report.md"), [text])
+    logs.write_text(run.spark, run.path("report.html"), [outputs.page(latest, min_value, min_prob)])
     outputs.write_csv(latest, run.path("report-csv"))
     latest.unpersist()
     return text

@@ -8,6 +8,9 @@ has one writer at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import batched
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,3 +109,38 @@ def append(df: DataFrame, path: str) -> None:
 
 def write_errors(errors: DataFrame, path: str) -> None:
     errors.select(F.concat_ws(": ", "path", "error").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_text(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """Write ``lines`` as one file where Spark would write it; some thousand are held at a time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for part in batched(lines, 10_000):
+            out.write(bytearray("".join(f"{line}\n" for line in part), "utf-8"))
+    finally:
+        out.close()
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """Write a column of text as one file in the order of ``df``.
+
+    Parts are written side by side and then put behind one another; no row
+    comes to Python.
+    """
+    spark, hadoop = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop
+    folder, conf = f"{path}.parts", spark._jsc.hadoopConfiguration()
+    df.write.mode("overwrite").text(folder)
+    system = hadoop.fs.Path(folder).getFileSystem(conf)
+    parts = [s.getPath() for s in system.listStatus(hadoop.fs.Path(folder)) if s.getPath().getName().startswith("part-")]
+    out = system.create(hadoop.fs.Path(path), True)
+    try:
+        for part in sorted(parts, key=lambda p: int(p.getName().split("-")[1])):
+            source = system.open(part)
+            try:
+                hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    remove(spark, folder)

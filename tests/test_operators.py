@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftwell import schema as S
 from siftwell.operators import budget, dedupe, folds, listings, metrics, ocr, outputs, ranking, rollups, selection
-from siftwell.sources import adapters
+from siftwell.sources import adapters, logs
 
 P = (0.0, 0.0, 0.0, 0.0, 0.0, None)
 
@@ -85,6 +85,27 @@ def test_name_sample(spark, n):
     assert got == (names if n <= 40 else [names[int(k * (n / 40))] for k in range(40)])
 
 
+@pytest.mark.parametrize("range_rows", [0, 100, 10_000])
+def test_name_sample_by_ranges(spark, range_rows):
+    rng = random.Random(5)
+    rows = [(d, rng.choice(["Same", "same", f"n{rng.randrange(300)}", f"N{i}", ""]), i) for i in range(1200) for d in ("/a", "/a", "/a", "/b")[i % 4 : i % 4 + 1]]
+    want = {}
+    for d in ("/a", "/b"):
+        names = [n for _, n, _ in sorted((r for r in rows if r[0] == d), key=lambda r: (r[1].lower(), r[2]))]
+        want |= {(d, k): names[int(k * (len(names) / 40))] for k in range(40)}
+    files = spark.createDataFrame(rows, "dir string, name string, seq long").repartition(7)
+    assert {(r["path"], r["pos"]): r["name"] for r in listings.name_sample(files, range_rows=range_rows).collect()} == want
+
+
+def test_lines_become_one_file_in_order(spark, tmp_path):
+    logs.write_lines(spark.range(1000, numPartitions=13).orderBy(F.desc("id")).select(F.col("id").cast("string").alias("value")), str(tmp_path / "a" / "out.txt"))
+    assert (tmp_path / "a" / "out.txt").read_text() == "".join(f"{i}\n" for i in reversed(range(1000)))
+    logs.write_lines(spark.createDataFrame([], "value string"), str(tmp_path / "a" / "out.txt"))
+    assert (tmp_path / "a" / "out.txt").read_text() == "" and not (tmp_path / "a" / "out.txt.parts").exists()
+    logs.write_text(spark, str(tmp_path / "b.md"), (f"é{i}" for i in range(25_000)))
+    assert (tmp_path / "b.md").read_text() == "".join(f"é{i}\n" for i in range(25_000))
+
+
 def test_decisions_drop_only_judged_directories(spark):
     inv = inventory(spark, [("/a/x.txt", 40, "text", "a", None), ("/b/x.txt", 40, "text", "b", None), ("/c/x.txt", 40, "text", "c", None)])
     listed = spark.createDataFrame([("/a",), ("/b",), ("/c",)], "path string")
@@ -140,8 +161,13 @@ def test_tree_page_and_outputs(spark, small, tmp_path):
     assert sum(n["notable_subtree"] for n in nodes) == rollups.subtree_rollup(latest).filter("dir = '/'").first()["notable_subtree"]
     assert "</script><" not in outputs.page(latest).split('type="application/json">')[1].split("</script>")[0]
     outputs.write_manifest(latest, str(tmp_path))
-    listed = [r[0] for r in spark.read.text(str(tmp_path / "copy-all")).collect()]
-    assert sorted(listed) == sorted(r["path"] for r in outputs.manifest_rows(latest).collect())
+    listed = (tmp_path / "copy-list.txt").read_text().splitlines()
+    assert listed == [r["path"] for r in outputs.manifest_rows(latest).orderBy(*ranking.copy_order()).collect()]
+    parts = [(tmp_path / f"copy-list-{n}.txt").read_text().splitlines() for n in ("verified", "name-only")]
+    assert sorted(parts[0] + parts[1]) == sorted(listed)
+    shown = (tmp_path / "by-category.md").read_text().split("\n## ")
+    assert [part.split("\n")[0] for part in shown[1:]] == list(S.CATEGORIES)
+    assert sum(part.count("\n1. ") for part in shown) == outputs.manifest_categories(latest).filter("rank = 1").count()
     assert (tmp_path / "summary.txt").read_text().startswith(f"Files: {len(listed):,}")
     assert "# Report" in outputs.report_markdown(latest)
     outputs.write_csv(latest, str(tmp_path / "csv"))
