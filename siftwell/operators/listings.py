@@ -26,12 +26,15 @@ def _ranged(files: DataFrame, range_rows: int) -> DataFrame:
 
     It is 0 in a directory of up to ``range_rows`` rows. In a larger one it is
     the number of cut points at or before the row; those are the rows of least
-    hash there, so each range is a small share of the directory.
+    hash there, so each range is a small share of the directory. One count is
+    run at once: without a large directory no cut points are sought.
     """
+    large = files.groupBy("dir").count().filter(F.col("count") > range_rows)
+    if large.isEmpty():
+        return files.withColumn("_range", F.lit(0))
     spread = Window.partitionBy("dir").orderBy(F.xxhash64("low", "seq"), "seq")
     key = F.struct("low", "seq")
     cuts = files.select("dir", key.alias("_cut"), F.row_number().over(spread).alias("_pick")).filter(F.col("_pick") < RANGES)
-    large = files.groupBy("dir").count().filter(F.col("count") > range_rows)
     edges = cuts.join(large, "dir", "left_semi").groupBy("dir").agg(F.array_sort(F.collect_list("_cut")).alias("_edges"))
     placed = files.join(edges, "dir", "left")
     return placed.withColumn("_range", F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e <= key)))).drop("_edges")
