@@ -8,6 +8,7 @@ partition of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import stat
 from collections.abc import Callable, Iterator
@@ -44,11 +45,19 @@ class Subtree(InputPartition):
         self.root, self.folder, self.deep = root, folder, deep
 
 
+def _is_folder(entry: os.DirEntry) -> bool:
+    """Whether to descend: not into links, nor into what vanished; that is told as an entry."""
+    try:
+        return entry.is_dir(follow_symlinks=False) and not is_link(entry)
+    except OSError:
+        return False
+
+
 def _kept_dirs(root: str, folder: str, entries: list[os.DirEntry]) -> list[os.DirEntry]:
     below = [p for p in os.path.relpath(folder, root).split(os.sep) if p != "."]
     above = below or [os.path.basename(os.path.normpath(root))]
     siblings = {e.name.lower() for e in entries}
-    return [e for e in entries if e.is_dir(follow_symlinks=False) and not is_link(e) and not rules.skips_dir(e.name, above) and not rules.skips_beside(e.name, siblings)]
+    return [e for e in entries if _is_folder(e) and not rules.skips_dir(e.name, above) and not rules.skips_beside(e.name, siblings)]
 
 
 class FilesReader(DataSourceReader):
@@ -87,9 +96,9 @@ class FilesReader(DataSourceReader):
                 yield (_text(folder), None, None, None, partition.root, str(error))
                 continue
             for entry in entries:
-                if is_link(entry) or not entry.is_file(follow_symlinks=False):
-                    continue
                 try:
+                    if is_link(entry) or not entry.is_file(follow_symlinks=False):
+                        continue
                     found = entry.stat(follow_symlinks=False)
                 except OSError as error:
                     yield (_text(entry.path), _text(entry.name), None, None, partition.root, str(error))
@@ -104,7 +113,7 @@ def _text(name: str) -> str:
 
 
 class FilesDataSource(DataSource):
-    """``spark.read.format("siftwell_files").option("roots", "a:b")``, roots separated by the path separator."""
+    """``spark.read.format("siftwell_files").option("roots", '["a", "b"]')``: the roots as a JSON list."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,13 +123,13 @@ class FilesDataSource(DataSource):
         return LISTED
 
     def reader(self, schema: object) -> DataSourceReader:
-        return FilesReader([r for r in self.options.get("roots", "").split(os.pathsep) if r])
+        return FilesReader(json.loads(self.options.get("roots", "[]")))
 
 
 def listed(spark: SparkSession, roots: list[str]) -> DataFrame:
     """All files below the roots, and a row with an error for what could not be read."""
     spark.dataSource.register(FilesDataSource)
-    return spark.read.format("siftwell_files").option("roots", os.pathsep.join(roots)).load()
+    return spark.read.format("siftwell_files").option("roots", json.dumps(roots)).load()
 
 
 def inventory(spark: SparkSession, roots: list[str], written: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:

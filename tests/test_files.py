@@ -84,6 +84,31 @@ def test_walk(spark, tmp_path):
     assert errors.count() == 1
 
 
+def test_walk_of_a_root_with_a_separator_in_its_name(spark, tmp_path):
+    for root in ("a:b", "c;d"):
+        (tmp_path / root).mkdir()
+        (tmp_path / root / "f.txt").write_text("x")
+    found = filesystem.listed(spark, [str(tmp_path / "a:b"), str(tmp_path / "c;d")]).collect()
+    assert sorted((r["path"], r["error"]) for r in found) == [(str(tmp_path / root / "f.txt"), None) for root in ("a:b", "c;d")]
+
+
+def test_walk_tells_of_an_entry_that_vanishes(monkeypatch, tmp_path):
+    for name in ("gone", "kept"):
+        (tmp_path / f"{name}.txt").write_text("x")
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "below.txt").write_text("x")
+    known = filesystem.is_link
+
+    def is_link(entry):
+        if entry.name.startswith("gone"):
+            raise FileNotFoundError("no such entry")
+        return known(entry)
+
+    monkeypatch.setattr(filesystem, "is_link", is_link)
+    rows = list(filesystem.FilesReader([]).read(filesystem.Subtree(str(tmp_path), str(tmp_path), deep=True)))
+    assert sorted((r[1], r[5]) for r in rows) == [("below.txt", None), ("gone", "no such entry"), ("gone.txt", "no such entry"), ("kept.txt", None)]
+
+
 def test_logs(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"dedupe_key":"a","path":"/a","probabilities":{"credentials":0.5,"value":{"2":0.7}}}\n\n{"dedupe_key":"b","error":"x"}\n{bad\n')
     rows = logs.results(spark, str(tmp_path / "r.jsonl"), strict=False).orderBy("seq").collect()
