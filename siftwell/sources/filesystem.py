@@ -2,8 +2,8 @@
 
 Built-in file sources hide names that begin with a dot or an underscore; this
 one lists every file. Directories that are never wanted are pruned while
-listing, so their subtrees cost nothing. Each top-level subtree of a root is a
-partition of its own.
+listing, so their subtrees cost nothing. Folders are opened breadth first until
+there are enough subtrees for all tasks; each of those is a partition of its own.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import stat
+from collections import deque
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from siftwell.functions import paths, rules
 from siftwell.operators import dedupe, selection
 
+#: Partitions a walk is dealt to, at least where there are as many folders.
+SUBTREES = 64
 LISTED = "path string, name string, size bigint, mtime double, root string, error string"
 
 
@@ -61,25 +64,31 @@ def _kept_dirs(root: str, folder: str, entries: list[os.DirEntry]) -> list[os.Di
 
 
 class FilesReader(DataSourceReader):
-    def __init__(self, roots: list[str]) -> None:
-        self.roots = roots
+    def __init__(self, roots: list[str], subtrees: int = SUBTREES) -> None:
+        self.roots, self.subtrees = roots, subtrees
 
     def partitions(self) -> list[InputPartition]:
-        found: list[InputPartition] = []
+        """Roots, and folders below them until there are ``subtrees`` parts, are listed one by one; what is left is walked.
+
+        No more than ``subtrees`` folders are opened here beside the roots.
+        """
+        flat: list[InputPartition] = []
+        waiting = deque((root, root) for root in self.roots)
         seen: set[tuple[int, int]] = set()
-        for root in self.roots:
-            found.append(Subtree(root, root, deep=False))
+        while waiting and (len(flat) < len(self.roots) or len(flat) + len(waiting) < self.subtrees):
+            root, folder = waiting.popleft()
+            flat.append(Subtree(root, folder, deep=False))
             try:
-                with os.scandir(root) as listing:
+                with os.scandir(folder) as listing:
                     entries = sorted(listing, key=lambda e: e.name)
             except OSError:
-                continue  # told by the partition that lists the root
-            for entry in _kept_dirs(root, root, entries):
+                continue  # told by the partition that lists the folder
+            for entry in _kept_dirs(root, folder, entries):
                 who = identity(entry.path)
                 if who is None or who not in seen:
                     seen.add(who)
-                    found.append(Subtree(root, entry.path, deep=True))
-        return found
+                    waiting.append((root, entry.path))
+        return flat + [Subtree(root, folder, deep=True) for root, folder in waiting]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         waiting, visited = [partition.folder], set()
@@ -123,13 +132,14 @@ class FilesDataSource(DataSource):
         return LISTED
 
     def reader(self, schema: object) -> DataSourceReader:
-        return FilesReader(json.loads(self.options.get("roots", "[]")))
+        return FilesReader(json.loads(self.options.get("roots", "[]")), int(self.options.get("subtrees", SUBTREES)))
 
 
 def listed(spark: SparkSession, roots: list[str]) -> DataFrame:
     """All files below the roots, and a row with an error for what could not be read."""
     spark.dataSource.register(FilesDataSource)
-    return spark.read.format("siftwell_files").option("roots", json.dumps(roots)).load()
+    subtrees = max(SUBTREES, 4 * spark.sparkContext.defaultParallelism)
+    return spark.read.format("siftwell_files").option("roots", json.dumps(roots)).option("subtrees", subtrees).load()
 
 
 def inventory(spark: SparkSession, roots: list[str], written: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -92,6 +92,19 @@ def test_walk_of_a_root_with_a_separator_in_its_name(spark, tmp_path):
     assert sorted((r["path"], r["error"]) for r in found) == [(str(tmp_path / root / "f.txt"), None) for root in ("a:b", "c;d")]
 
 
+def test_a_root_with_one_child_is_dealt_to_many_tasks(spark, tmp_path):
+    for i in range(6):
+        for j in range(3):
+            _write(tmp_path / "only" / f"d{i}" / f"e{j}" / "f.txt", "x" * 40)
+    parts = filesystem.FilesReader([str(tmp_path)], 8).partitions()
+    assert [p.deep for p in parts] == [False, False, True, True, True, True, True, True]
+    for subtrees in (1, 2, 5, 8, 9, 64):
+        reader = filesystem.FilesReader([str(tmp_path)], subtrees)
+        found = [row[0] for part in reader.partitions() for row in reader.read(part)]
+        assert len(found) == len(set(found)) == 18, subtrees
+    assert filesystem.listed(spark, [str(tmp_path)]).count() == 18
+
+
 def test_walk_tells_of_an_entry_that_vanishes(monkeypatch, tmp_path):
     for name in ("gone", "kept"):
         (tmp_path / f"{name}.txt").write_text("x")
