@@ -58,8 +58,9 @@ def _pages(path: str, program: str) -> str:
         return "\n".join(texts)
 
 
-def run(rows: DataFrame, recogniser: Recogniser = recognise, tasks: int = S.OCR_WORKERS) -> DataFrame:
-    """OCR log rows of ``rows`` (dedupe_key, path), spread over ``tasks`` partitions."""
+def run(rows: DataFrame, recogniser: Recogniser = recognise, tasks: int | None = None) -> DataFrame:
+    """OCR log rows of ``rows`` (dedupe_key, path), spread over ``tasks`` partitions: by default one for each core of the cluster."""
+    tasks = tasks or max(S.OCR_WORKERS, rows.sparkSession.sparkContext.defaultParallelism)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -23,19 +23,29 @@ def directory_rollup(rows: DataFrame, top: int = S.ROLLUP_TOP) -> DataFrame:
 
 
 def subtree_rollup(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: float = S.REPORT_MIN_PROB) -> DataFrame:
-    """One row per directory at any depth over the valid rows below it."""
+    """One row per directory at any depth over the valid rows below it.
+
+    Rows are summed by their own directory first; only those sums go to every
+    directory above.
+    """
     valid = latest.filter(rules.is_valid()).withColumn("notable", rules.is_included(min_value, min_prob))
-    hits = [rules.at_least(rules.probability(c), min_prob).alias(f"hit_{c}") for c in S.CATEGORIES]
-    rows = valid.select("path", "size", "value_score", "notable", *hits, F.explode(paths.ancestors(F.col("path"))).alias("dir"))
     own = F.col("notable")
-    return rows.groupBy("dir").agg(
+    direct = valid.groupBy(paths.parent(F.col("path")).alias("own")).agg(
+        F.min(paths.ancestors(F.col("path"))).alias("above"),  # the same for all rows of a directory
         F.count(F.lit(1)).alias("scanned_subtree"),
         F.count_if(own).alias("notable_subtree"),
-        F.count_if(own & (paths.parent(F.col("path")) == F.col("dir"))).alias("notable_direct"),
-        *[F.count_if(own & F.col(f"hit_{c}")).alias(c) for c in S.CATEGORIES],
+        *[F.count_if(own & rules.at_least(rules.probability(c), min_prob)).alias(c) for c in S.CATEGORIES],
         F.max(F.when(own, F.col("value_score"))).alias("max_value"),
         F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)).alias("notable_bytes"),
     )
+    return direct.withColumn("dir", F.explode("above")).groupBy("dir").agg(
+        F.sum("scanned_subtree").alias("scanned_subtree"),
+        F.sum("notable_subtree").alias("notable_subtree"),
+        F.sum(F.when(F.col("own") == F.col("dir"), F.col("notable_subtree")).otherwise(0)).alias("notable_direct"),
+        *[F.sum(c).alias(c) for c in S.CATEGORIES],
+        F.max("max_value").alias("max_value"),
+        F.sum("notable_bytes").alias("notable_bytes"),
+    )
 
 
 def manifest_totals(rows: DataFrame, min_prob: float = S.MANIFEST_MIN_PROB) -> DataFrame:
