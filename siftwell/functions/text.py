@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from siftwell import schema as S
 
 
+def two_places(value: Column) -> Column:
+    """A number that is not negative, rounded to two decimal places by its exact value, ties to even.
+
+    The double nearest to the midpoint decides; where the number equals it, the
+    midpoint's own rounding error does, which is got without loss.
+    """
+    low = F.floor(value * 100)
+    odd = low * 2 + F.lit(1.0)
+    middle = odd / 200
+    error = odd - middle * 128 - middle * 64 - middle * 8
+    tie = F.when(error > 0, 0).when(error < 0, 1).otherwise(low % 2)
+    return (low + F.when(value > middle, 1).when(value < middle, 0).otherwise(tie)) / F.lit(100.0)
+
+
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", " ")
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell import schema as S
-from siftwell.functions import paths, rules
+from siftwell.functions import paths, rules, text
 from siftwell.operators import ranking, rollups
 from siftwell.sources import logs
 
@@ -147,22 +147,111 @@ def tree(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: float = S.
     return sorted((node(r) for r in children.get(None, [])), key=lambda n: -n["notable_subtree"])
 
 
-PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>Report</title></head><body><h1>Report</h1>
-<div id="out"></div><script id="data" type="application/json">__DATA__</script><script>
-const d = JSON.parse(document.getElementById("data").textContent), out = document.getElementById("out");
-function show(n, at) { const e = document.createElement("details"), s = document.createElement("summary");
- s.textContent = n.name + " (" + n.notable_subtree + ")"; e.append(s); n.children.forEach(c => show(c, e)); at.append(e); }
-d.tree.forEach(n => show(n, out));
+PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>Report</title><style>
+body { font: 14px sans-serif; margin: 2em } td, th { padding: 2px 8px; text-align: left } details { margin-left: 1em }
+</style></head><body><h1>Report</h1><p id="summary"></p><table id="categories"></table>
+<h2>Directories</h2><div id="tops"></div><div id="tree"></div>
+<h2>Files</h2><p><input id="find" placeholder="part of a path"> <select id="category"><option value="">all categories</option></select>
+<select id="verified"><option value="">all labels</option></select> <button id="under" hidden></button> <span id="count"></span></p>
+<table><thead id="head"></thead><tbody id="rows"></tbody></table><button id="more">more rows</button> <button id="load">load more files</button> <button id="all">load all</button>
+<script id="data" type="application/json">__DATA__</script><script>
+const d = JSON.parse(document.getElementById("data").textContent), at = id => document.getElementById(id);
+const dirs = new Map(), files = [];
+let loaded = 0, shown = d.page_rows, under = null, key = "value", down = true;
+function dir(n, path) { dirs.set(n, path); }
+function file(f) { f.path = dirs.get(f.dir) + f.name; files.push(f); }
+function make(tag, text, click) { const e = document.createElement(tag); e.textContent = text; if (click) e.onclick = click; return e; }
+function bytes(n) { const units = ["B", "KB", "MB", "GB", "TB"]; let i = 0; for (; n >= 1024 && i < 4; i++) n /= 1024; return (i ? n.toFixed(1) : n) + " " + units[i]; }
+function inside(path, top) { const end = /[\\\\/]$/.test(top) ? "" : "\\\\/"; return path.startsWith(top) && (!end || end.includes(path[top.length])); }
+function script(name) { return new Promise((done, failed) => { const e = document.createElement("script"); e.src = name; e.onload = done; e.onerror = failed; document.body.append(e); }); }
+async function load(upto) { while (loaded < Math.min(upto, d.files.length)) await script(d.files[loaded++]); draw(); }
+function top_category(f) { return d.categories.filter(c => c in f.probs).reduce((a, c) => a && f.probs[a] >= f.probs[c] ? a : c, null); }
+const columns = { value: f => f.value, confidence: f => f.confidence, verified: f => f.verified, size: f => f.size, probability: f => f.probs[at("category").value] ?? 0, path: f => f.path.toLowerCase() };
+function draw() {
+ const text = at("find").value.toLowerCase(), category = at("category").value, label = at("verified").value, by = columns[key];
+ const found = files.filter(f => f.path.toLowerCase().includes(text) && (!category || (f.probs[category] ?? 0) >= d.min_prob) && (!label || f.verified === label) && (under === null || inside(f.path, under)));
+ found.sort((a, b) => (by(a) < by(b) ? -1 : by(a) > by(b) ? 1 : 0) * (down ? -1 : 1) || b.value - a.value);
+ const head = document.createElement("tr");
+ for (const c of Object.keys(columns)) head.append(make("th", c + (c === key ? (down ? " \\u25be" : " \\u25b4") : ""), () => { down = c === key ? !down : c !== "path"; key = c; draw(); }));
+ at("head").replaceChildren(head);
+ at("rows").replaceChildren(...found.slice(0, shown).map(f => { const row = document.createElement("tr"), best = category || top_category(f);
+  for (const cell of [f.value.toFixed(2), f.confidence.toFixed(2), f.verified, bytes(f.size), best ? best + " " + (f.probs[best] ?? 0).toFixed(2) : "-", f.path]) row.append(make("td", cell)); return row; }));
+ at("count").textContent = `${Math.min(shown, found.length)} of ${found.length} rows; ${files.length} of ${d.summary.notable} notable files loaded, best first`;
+ at("under").hidden = under === null; at("under").textContent = "only below " + under + ": show all";
+ at("more").hidden = shown >= found.length; at("load").hidden = at("all").hidden = loaded >= d.files.length;
+}
+function choose(path) { under = path; shown = d.page_rows; draw(); }
+function branch(n) { const e = document.createElement("details"), s = make("summary", `${n.name}: ${n.notable_subtree} of ${n.scanned_subtree}, ${bytes(n.notable_bytes)}, best ${n.max_value} `);
+ s.append(make("button", "files", event => { event.preventDefault(); choose(n.path); })); e.append(s);
+ e.addEventListener("toggle", () => { if (e.open && e.children.length === 1) n.children.forEach(c => e.append(branch(c))); }); return e; }
+at("summary").textContent = `${d.summary.scanned} judged, ${d.summary.errors} errors, ${d.summary.notable} notable, ${d.summary.credential_hits} with credentials, spent $${(d.summary.spend ?? 0).toFixed(4)}`;
+at("categories").append(...d.tallies.map(t => { const row = document.createElement("tr"); for (const cell of [t.category_name, t.files, t.verified + " verified", t.name_only + " by name"]) row.append(make("td", cell)); return row; }));
+at("tops").append(...d.directories.map(t => make("div", `${t.files} ${t.dir}`, () => choose(t.dir))));
+d.tree.forEach(n => at("tree").append(branch(n)));
+d.categories.forEach(c => at("category").append(new Option(c, c)));
+d.labels.forEach(c => at("verified").append(new Option(c, c)));
+for (const id of ["find", "category", "verified"]) at(id).addEventListener("input", () => { shown = d.page_rows; draw(); });
+at("under").onclick = () => choose(null);
+at("more").onclick = () => { shown += d.page_rows; draw(); };
+at("load").onclick = () => load(loaded + 1);
+at("all").onclick = () => load(d.files.length);
+(async () => { for (const name of d.dirs) await script(name); load(1); })();
 </script></body></html>
 """
 
 
-def page(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: float = S.REPORT_MIN_PROB) -> str:
-    """The report page: its data as ASCII JSON that can't close the script element."""
+def page_rows(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: float = S.REPORT_MIN_PROB) -> DataFrame:
+    """The notable files of the page, numbers to two places: dir, dir_path, name, size, value, confidence, verified, probs, first_seq.
+
+    ``dir`` numbers directories from 0 in the order their first notable file
+    appeared. They are numbered by ranges, not by one sort.
+    """
+    from siftwell.operators import metrics
+
+    rows = latest.filter(rules.is_valid() & rules.is_included(min_value, min_prob)).withColumn("_dir", paths.parent(F.col("path")))
+    first = rows.groupBy("_dir").agg(F.min("first_seq").cast("double").alias("_first"), F.lit(1).alias("_n"))
+    numbers = metrics.rows_below(first, "_first").select("_dir", F.col("below").alias("dir"))
+    probabilities = F.struct(*[text.two_places(rules.probability(c)).alias(c) for c in S.CATEGORIES])
+    return rows.join(numbers, "_dir").select(
+        "dir", paths.join(F.col("_dir"), F.lit("")).alias("dir_path"), paths.name(F.col("path")).alias("name"), F.coalesce("size", F.lit(0)).alias("size"),
+        text.two_places(F.col("value_score")).alias("value"), text.two_places(F.coalesce("value_confidence", F.lit(0.0))).alias("confidence"),
+        rules.verified_label(F.col("extraction_status")).alias("verified"), probabilities.alias("probs"), "first_seq",
+    )
+
+
+def page(latest: DataFrame, min_value: float = S.MIN_VALUE, min_prob: float = S.REPORT_MIN_PROB, dirs: Sequence[str] = (), files: Sequence[str] = ()) -> str:
+    """The report page: its data as ASCII JSON that can't close the script element.
+
+    Files are not in it; the page reads them from the scripts ``dirs`` and
+    ``files``, the latter one by one, best files first.
+    """
     summary = rollups.report_summary(latest, min_value, min_prob).first().asDict()
-    dirs = [r.asDict() for r in rollups.directory_rollup(manifest_rows(latest, min_value, min_prob), S.PAGE_TOP_DIRS).collect()]
-    data = json.dumps({"summary": summary, "directories": dirs, "tree": tree(latest, min_value, min_prob)}, ensure_ascii=True)
-    return PAGE.replace("__DATA__", data.replace("</", "<\\/"))
+    tallies = {r["category_name"]: r.asDict() for r in rollups.category_tallies(latest.filter(rules.is_included(min_value, min_prob)), min_prob).collect()}
+    tops = [r.asDict() for r in rollups.directory_rollup(manifest_rows(latest, min_value, min_prob), S.PAGE_TOP_DIRS).collect()]
+    none = {"files": 0, "verified": 0, "name_only": 0}
+    data = {
+        "summary": summary, "tallies": [tallies.get(c, none | {"category_name": c}) for c in S.CATEGORIES], "directories": tops, "tree": tree(latest, min_value, min_prob),
+        "categories": S.CATEGORIES, "labels": S.VERIFIED_LABELS, "min_prob": min_prob, "page_rows": S.PAGE_ROWS, "dirs": list(dirs), "files": list(files),
+    }
+    return PAGE.replace("__DATA__", json.dumps(data, ensure_ascii=True).replace("</", "<\\/"))
+
+
+def write_page(latest: DataFrame, folder: str, min_value: float = S.MIN_VALUE, min_prob: float = S.REPORT_MIN_PROB) -> None:
+    """``report.html`` and, beside it, scripts with every notable file: written in the cluster, none of them collected."""
+    rows = page_rows(latest, min_value, min_prob)
+    entry = F.to_json(F.struct("dir", "name", "size", "value", "confidence", "verified", "probs"))
+    dirs = rows.select("dir", "dir_path").distinct().select(F.concat(F.lit("dir("), F.col("dir").cast("string"), F.lit(","), _quoted("dir_path"), F.lit(");")).alias("value"))
+    files = rows.orderBy(F.desc("value"), "first_seq").select(F.concat(F.lit("file("), entry, F.lit(");")).alias("value"))
+    names = {}
+    for name, lines in (("report-dirs", dirs), ("report-files", files)):
+        names[name] = [f"{name}/{part}" for part in logs.write_scripts(lines, f"{folder}/{name}", S.SCRIPT_ROWS)]
+    logs.write_text(latest.sparkSession, f"{folder}/report.html", [page(latest, min_value, min_prob, names["report-dirs"], names["report-files"])])
+
+
+def _quoted(column: str) -> Column:
+    """A text as a JSON string."""
+    array = F.to_json(F.array(column))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
 def table_filter(latest: DataFrame, text: str = "", category: str | None = None, min_prob: float = S.REPORT_MIN_PROB, verified: str | None = None, sort: str = "value_score", descending: bool = True, page_number: int = 0, page_size: int = 100) -> DataFrame:

@@ -655,3 +655,22 @@ def threshold_crossings(spark: SparkSession, folder: str) -> DataFrame:
 @_query(f"WITH {O.DECISIONS} SELECT 'owner_code' AS kind, count(*) AS directories, sum(file_count)::BIGINT AS files FROM decisions HAVING count(*) > 0")
 def kind_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.kinds(_decisions(spark, folder))
+
+
+@_query(f"""
+    WITH {O.JUDGED}, kept AS (SELECT * FROM latest WHERE {O.VALID} AND coalesce({_NOTABLE}, false)),
+    dirs AS (SELECT dir AS up, row_number() OVER (ORDER BY min(first_seq)) - 1 AS place FROM kept GROUP BY dir)
+    SELECT place AS dir, up || '/' AS dir_path, split_part(path, '/', 4) AS name, size, format('{{:.2f}}', value_score)::DOUBLE AS value, verified,
+           {", ".join(f"format('{{:.2f}}', {c})::DOUBLE AS {c}" for c in S.CATEGORIES)}
+    FROM (SELECT *, {O.LABEL} AS verified FROM kept) k JOIN dirs ON dirs.up = k.dir
+""")
+def page_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files a report page reads, their directories as numbers."""
+    return outputs.page_rows(A.judged(spark, folder)).select("dir", "dir_path", "name", "size", "value", "verified", "probs.*")
+
+
+@_query("SELECT l_orderkey AS id, l_linenumber AS line, format('{:.2f}', n / 800.0::DOUBLE)::DOUBLE AS ties, format('{:.2f}', n / 200.0::DOUBLE)::DOUBLE AS halves FROM (SELECT *, l_orderkey * 7 + l_linenumber AS n FROM lineitem)")
+def two_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Rounding by exact value: exact ties go to even, other halves the way their binary value lies."""
+    n = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    return A.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), text.two_places(n / 800).alias("ties"), text.two_places(n / 200).alias("halves"))

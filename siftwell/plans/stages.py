@@ -132,11 +132,11 @@ def recognise(run: Run, recogniser: ocr.Recogniser = ocr.recognise, top: int = S
 
 
 def report(run: Run, top: int = S.REPORT_TOP, min_prob: float = S.REPORT_MIN_PROB, min_value: float = S.MIN_VALUE) -> str:
-    """report.md, report.html and a CSV folder; returns the text."""
+    """report.md, report.html with its scripts, and a CSV folder; returns the text."""
     latest = run.latest().persist()
     text = outputs.report_markdown(latest, top, min_prob, min_value)
     logs.write_text(run.spark, run.path("report.md"), [text])
-    logs.write_text(run.spark, run.path("report.html"), [outputs.page(latest, min_value, min_prob)])
+    outputs.write_page(latest, run.folder, min_value, min_prob)
     outputs.write_csv(latest, run.path("report-csv"))
     latest.unpersist()
     return text

@@ -18,6 +18,7 @@ EXTRACT_SECONDS, EXTRACT_THREADS, NUL_RATIO = 20, 4, 0.01
 RUBRIC_VERSION = 2
 REPORT_TOP, CATEGORY_TOP, REPORT_MIN_PROB, MIN_VALUE, MAX_PER_DIR = 25, 20, 0.6, 2.0, 3
 MANIFEST_MIN_PROB, CREDENTIAL_WARNING, ROLLUP_TOP, PAGE_TOP_DIRS = 0.7, 0.6, 30, 15
+PAGE_ROWS, SCRIPT_ROWS = 100, 20_000
 LISTING_FLOOR, SKIP_BELOW, LISTING_NAMES, LISTING_DIRS, LISTING_EXTS = 10, 0.05, 40, 30, 15
 OCR_IMAGE_SECONDS, OCR_PDF_SECONDS, OCR_PAGES, OCR_DPI, OCR_WORKERS, OCR_TOP = 30, 60, 3, 150, 4, 200
 BREAKER_STATUSES, BREAKER_LIMIT = (401, 402, 403), 5

@@ -122,6 +122,24 @@ def write_text(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
         out.close()
 
 
+def write_scripts(df: DataFrame, path: str, rows: int) -> list[str]:
+    """Write a column of text as a folder of files of at most ``rows`` lines; return their names, in the order of ``df``."""
+    spark, hadoop = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows).text(path)
+    system = hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath().getName() for s in system.listStatus(hadoop.fs.Path(path)) if s.getLen() and s.getPath().getName().startswith("part-")]
+    names = []
+    for k, part in enumerate(sorted(parts, key=_place)):
+        names.append(f"{k:06}.js")
+        system.rename(hadoop.fs.Path(f"{path}/{part}"), hadoop.fs.Path(f"{path}/{names[-1]}"))
+    return names
+
+
+def _place(part: str) -> tuple[int, int]:
+    """The task's number and the file's number within it, of a name such as ``part-00001-<uuid>-c002.txt``."""
+    return int(part.split("-")[1]), int(part.rsplit("-c", 1)[1].split(".")[0])
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """Write a column of text as one file in the order of ``df``.
 

@@ -1,9 +1,15 @@
+import json
+import math
 import random
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwell import schema as S
+from siftwell.functions import text
 from siftwell.operators import budget, dedupe, folds, listings, metrics, ocr, outputs, ranking, rollups, selection
 from siftwell.sources import adapters, logs
 
@@ -174,6 +180,65 @@ def test_tree_page_and_outputs(spark, small, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == latest.count()
 
 
+def _scripted(folder, name):
+    """The calls of a page's scripts, in order: (function, arguments)."""
+    calls = []
+    for script in sorted((folder / name).glob("*.js")):
+        for line in script.read_text("utf-8").splitlines():
+            called, arguments = re.fullmatch(r"(\w+)\((.*)\);", line).groups()
+            calls.append((called, json.loads(f"[{arguments}]")))
+    return calls
+
+
+def test_page_files_are_all_written_best_first(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "SCRIPT_ROWS", 7)
+    latest = adapters.judged(spark, small).persist()
+    outputs.write_page(latest, str(tmp_path))
+    data = json.loads((tmp_path / "report.html").read_text().split('type="application/json">')[1].split("</script>")[0])
+    assert data["files"] == [f"report-files/{p.name}" for p in sorted((tmp_path / "report-files").glob("*.js"))] and len(data["files"]) > 3
+    dirs = dict(a for _, a in _scripted(tmp_path, "report-dirs"))
+    assert sorted(dirs) == list(range(len(dirs)))
+    files = [a[0] for _, a in _scripted(tmp_path, "report-files")]
+    wanted = [r for r in latest.orderBy("first_seq").collect() if r["path"] in {m["path"] for m in outputs.manifest_rows(latest, S.MIN_VALUE, S.REPORT_MIN_PROB).collect()} and r["value_score"] is not None]
+    assert sorted(dirs[f["dir"]] + f["name"] for f in files) == sorted(r["path"] for r in wanted)
+    assert data["summary"]["notable"] == len(files) == len(wanted)
+    assert [f["value"] for f in files] == sorted((round(r["value_score"], 2) for r in wanted), reverse=True)
+    seen = list(dict.fromkeys(r["path"].rsplit("/", 1)[0] + "/" for r in wanted))
+    assert [dirs[k] for k in range(len(dirs))] == seen
+    for row in data["tallies"]:
+        assert row["files"] == sum(f["probs"].get(row["category_name"], 0) >= S.REPORT_MIN_PROB for f in files) == row["verified"] + row["name_only"]
+
+
+def test_page_of_nothing_and_of_odd_names(spark, tmp_path):
+    outputs.write_page(folds.results_latest(spark.createDataFrame([], S.RESULTS)), str(tmp_path / "none"))
+    assert not list((tmp_path / "none" / "report-files").glob("*.js"))
+    names = ['C:\\d "q"\\a\\b.txt', "/é/</script>.txt", "bare.txt"]
+    rows = [(f"k{i}", p, None, "text", (0.9, None, 0.0, 0.0, 0.0, None), 2.125, None, 1, False, "ok", 2, None, i) for i, p in enumerate(names)]
+    latest = folds.results_latest(spark.createDataFrame(rows, S.RESULTS))
+    outputs.write_page(latest, str(tmp_path / "odd"))
+    dirs = dict(a for _, a in _scripted(tmp_path / "odd", "report-dirs"))
+    files = [a[0] for _, a in _scripted(tmp_path / "odd", "report-files")]
+    assert [dirs[f["dir"]] + f["name"] for f in files] == names
+    assert files[0] == {"dir": 0, "name": "b.txt", "size": 0, "value": 2.12, "confidence": 0.0, "verified": "content", "probs": {"credentials": 0.9, "financial_legal": 0.0, "original_work": 0.0, "irreplaceable": 0.0}}
+
+
+@given(st.floats(0, 1e6) | st.integers(0, 10**6).map(lambda n: n / 200) | st.integers(0, 10**6).map(lambda n: n / 800))
+@settings(max_examples=300, deadline=None)
+def test_two_places_in_plain_floats(value):
+    """The rule of ``text.two_places`` on Python floats."""
+    low = math.floor(value * 100)
+    middle = (2 * low + 1.0) / 200
+    error = (2 * low + 1.0) - middle * 128 - middle * 64 - middle * 8
+    up = value > middle or (value == middle and (error < 0 or (error == 0 and low % 2 == 1)))
+    assert (low + up) / 100 == round(value, 2)
+
+
+def test_two_places(spark):
+    values = [0.0, 0.125, 0.375, 0.675, 2.675, 1.005, 0.29, 0.57, 1.0, 3.0, 0.015, 0.025, 1e-300, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(text.two_places(F.col("v"))).collect()]
+    assert got == [None if v is None else round(v, 2) for v in values]
+
+
 def test_chain_of_single_children_is_joined(spark):
     rows = [("a", "/x/y/z/f.txt", 10, "text", (0.9, 0.0, 0.0, 0.0, 0.0, None), 2.5, 0.5, 1, False, "ok", 2, None, 0), ("b", "/x/q.txt", 10, "text", P, 0.1, 0.5, 1, False, "ok", 2, None, 1)]
     latest = folds.results_latest(spark.createDataFrame(rows, S.RESULTS))
