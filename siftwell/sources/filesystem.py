@@ -22,7 +22,7 @@ from siftwell.functions import paths, rules
 from siftwell.operators import dedupe, selection
 
 #: Partitions a walk is dealt to, at least where there are as many folders.
-SUBTREES = 64
+SUBTREES = 16
 LISTED = "path string, name string, size bigint, mtime double, root string, error string"
 
 
@@ -138,7 +138,7 @@ class FilesDataSource(DataSource):
 def listed(spark: SparkSession, roots: list[str]) -> DataFrame:
     """All files below the roots, and a row with an error for what could not be read."""
     spark.dataSource.register(FilesDataSource)
-    subtrees = max(SUBTREES, 4 * spark.sparkContext.defaultParallelism)
+    subtrees = max(SUBTREES, 2 * spark.sparkContext.defaultParallelism)
     return spark.read.format("siftwell_files").option("roots", json.dumps(roots)).option("subtrees", subtrees).load()
 
 
