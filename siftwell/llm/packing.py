@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.shared import free_name, kept, salted_rank
-from siftwell.llm.tokens import blocks, vocabulary_path
+from siftwell.llm.tokens import blocks, small_batches, vocabulary_path
 
 CAPACITY = 2048
 #: Fixed value of the contract: the id that ends each document.
@@ -346,7 +346,9 @@ def gap(parts: DataFrame, capacity: int = CAPACITY, budget: int | None = BUDGET,
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, budget: int | None = BUDGET, width: int | None = WIDTH) -> DataFrame:
     """Every document's pieces with their sequence and place there. Only doc_id and text of ``docs`` are read."""
-    return pack(kept(pieces(docs, path, capacity), "pieces"), capacity, budget, width, ["row"]).drop("row")
+    with small_batches(docs.sparkSession):
+        parts = kept(pieces(docs, path, capacity), "pieces")
+    return pack(parts, capacity, budget, width, ["row"]).drop("row")
 
 
 def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None) -> DataFrame:

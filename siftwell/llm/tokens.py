@@ -14,13 +14,14 @@ import os
 import re
 import struct
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value of the contracts: the vocabulary file that queries name.
@@ -181,6 +182,21 @@ def blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Ar
         yield ids, encoder(path).encode(texts)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile gets ``BLOCK_BYTES`` and a row at a time from Spark, not 64 MB.
+
+    A batch is held by the JVM, outside its heap and in buffers that grow by
+    doubling, and by the worker, both for each task.
+    """
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    spark.conf.set(key, min(before, BLOCK_BYTES) if before > 0 else BLOCK_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """(ids, texts) of (id, text) batches: few rows at a time, and fewer where texts are long, so that they don't add up."""
     for batch in batches:

@@ -131,6 +131,26 @@ def test_texts_are_cut_into_blocks_by_rows_and_size():
     assert all(len(part) <= tokens.BLOCK_ROWS and (len(part) == 1 or sum(len(t or "") for t in part) <= tokens.BLOCK_BYTES) for _, part in blocks)
 
 
+def sized_blocks():
+    """``tokens.blocks`` that fails at batches of over ``BLOCK_BYTES`` and a row; made here, so that it goes to workers as it is."""
+    most = tokens.BLOCK_BYTES + 20_000
+
+    def blocks(batches, path):
+        for batch in batches:
+            assert batch.column(1).nbytes <= most, batch.column(1).nbytes
+            yield from tokens.blocks(iter([batch]), path)
+
+    return blocks
+
+
+def test_packing_gets_long_texts_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "blocks", sized_blocks())
+    docs = spark.range(0, 800, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2500).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert packing.pack_documents(docs).agg(F.sum("length")).first()[0] == 800 * 2501
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == int(before.rstrip("b"))
+
+
 def brute_bins(items, capacity):
     items = sorted(items, reverse=True)
     best = len(items)
