@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.files import fetch, save
 from siftwell.llm.shared import new_path
-from siftwell.llm.tokens import blocks, vocabulary_path
+from siftwell.llm.tokens import blocks, small_batches, vocabulary_path
 
 MAGIC, VERSION, BITS, BLOCK = b"DACTOKEN", 2, 8, 512
 HEADER = struct.Struct("<8sHBBiqq")
@@ -196,7 +196,10 @@ def load(uri: str) -> TokenFile:
 
 
 def _ranges(docs: DataFrame) -> int:
-    """How many ranges of doc ids a table is written in, by its size as planned."""
+    """How many ranges of doc ids a table is written in, by its size as planned.
+
+    Of the whole table: a plan that picks columns takes a text for 20 bytes.
+    """
     spark = docs.sparkSession
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= 1 << 60:  # not known
@@ -218,7 +221,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     """
     path = path or vocabulary_path()
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = _ranges(picked)
+    n = _ranges(docs)
     cuts = picked.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))
     bounds = [int(c) for c in cuts]  # n - 1 numbers, ascending
 
@@ -270,7 +273,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     encoded = picked.mapInArrow(spread, "part int, doc_id long, row long, wide boolean, ids binary")
     ordered = encoded.repartitionById(n, "part").sortWithinPartitions("doc_id", "row")
     manifest = ordered.select("doc_id", "wide", "ids").mapInArrow(store, "part int, seq int, file string, n_docs long, n_ids long")
-    manifest.write.parquet(f"{folder}/manifest")
+    with small_batches(docs.sparkSession):
+        manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 

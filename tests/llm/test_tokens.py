@@ -151,6 +151,21 @@ def test_packing_gets_long_texts_in_small_batches(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == int(before.rstrip("b"))
 
 
+def test_token_files_get_long_texts_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "blocks", sized_blocks())
+    docs = spark.range(0, 800, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2500).alias("text"))
+    assert token_files.write(docs, token_files.new_path(spark, "tokens")).agg(F.sum("n_ids")).first()[0] == 800 * 2501
+
+
+def test_ranges_hang_on_the_size_of_the_texts(spark, tmp_path, monkeypatch):
+    texts = [(i, random.Random(i).randbytes(500).hex(), "en", "web", 1000) for i in range(480)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents")
+    size = sum(f.stat().st_size for f in (tmp_path / "documents").glob("*.parquet"))
+    monkeypatch.setattr(token_files, "RANGE_BYTES", -(-size // 12))
+    manifest = token_files.write(spark.read.parquet(f"{tmp_path}/documents"), token_files.new_path(spark, "tokens"))
+    assert [r["n_docs"] for r in manifest.orderBy("part").collect()] == pytest.approx([40] * 12, abs=20)
+
+
 def brute_bins(items, capacity):
     items = sorted(items, reverse=True)
     best = len(items)
