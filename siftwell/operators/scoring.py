@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,14 @@ from siftwell.operators import budget
 
 #: Most calls that one task has in flight; more are dealt to several tasks.
 MOST_THREADS = 16
+#: Rows whose states and answers a worker holds at once as Python objects; Spark sends it 10,000.
+BLOCK_ROWS = 512
+
+_ANSWER = {
+    "probabilities": pa.struct([*((c, pa.float64()) for c in S.CATEGORIES), ("value", pa.map_(pa.string(), pa.float64()))]),
+    "value_score": pa.float64(), "value_confidence": pa.float64(), "input_tokens": pa.int64(), "error": pa.string(), "http_status": pa.int32(),
+}
+_DECISION = {"path": pa.string(), "file_count": pa.int64(), "worth_scanning": pa.float64(), "kind": pa.string(), "input_tokens": pa.int64(), "error": pa.string()}
 
 
 class Judge(Protocol):
@@ -95,6 +103,18 @@ def with_retries(call: Callable[[], list[dict]], sleep: Callable[[float], None]
     raise AssertionError("unreachable")
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, ``BLOCK_ROWS`` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            yield batch.slice(at, BLOCK_ROWS)
+
+
+def _columns(rows: list[dict], kinds: dict[str, pa.DataType]) -> list[pa.Array]:
+    """Columns of ``rows``; what is missing or NaN is null."""
+    return [pa.array([x.get(c) for x in rows], kind, from_pandas=True) for c, kind in kinds.items()]
+
+
 def judge_files(candidates: DataFrame, judge: Judge, per_minute: float | None = None, threads: int = 1) -> DataFrame:
     """Result rows of ``candidates``: one per row; a failed call is a row with an error.
 
@@ -108,7 +128,7 @@ def judge_files(candidates: DataFrame, judge: Judge, per_minute: float | None =
     kinds = {f.name: f.dataType.simpleString() for f in states.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", {S.ANSWER}, http_status int"
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
         pacer, breaker = budget.Pacer(per_minute), budget.Breaker()
@@ -124,16 +144,17 @@ def judge_files(candidates: DataFrame, judge: Judge, per_minute: float | None =
             breaker.record(found["http_status"])
             return found
 
+        def judged(part: pa.RecordBatch, pool: ThreadPoolExecutor) -> pa.RecordBatch:
+            texts = part.column("_state").to_pylist()
+            out = list(pool.map(ask, texts) if threads > 1 else map(ask, texts))
+            rows = part.select(kept).filter(pa.array([x is not None for x in out], pa.bool_()))
+            return pa.RecordBatch.from_arrays([*rows.columns, *_columns([x for x in out if x is not None], _ANSWER)], [*kept, *_ANSWER])
+
         with ThreadPoolExecutor(threads) as pool:
-            for batch in batches:
-                out = list(pool.map(ask, batch["_state"]) if threads > 1 else map(ask, batch["_state"]))
-                asked = [x is not None for x in out]
-                batch = batch[asked]
-                answers = pd.DataFrame([x for x in out if x is not None], columns=["probabilities", "value_score", "value_confidence", "input_tokens", "error", "http_status"], index=batch.index).astype(object)
-                answers = answers.where(answers.notna(), None)
-                yield pd.concat([batch[kept], answers], axis=1)
-
-    judged = states.select(*kept, "_state").mapInPandas(answer, schema)
+            for part in blocks(batches):
+                yield judged(part, pool)
+
+    judged = states.select(*kept, "_state").mapInArrow(answer, schema)
     billed = money.billed_tokens(F.col("error"), F.col("input_tokens"), F.col("_estimate"))
     return judged.withColumn("input_tokens", billed).withColumn("rubric_version", F.when(F.col("error").isNull(), S.RUBRIC_VERSION)).drop("_estimate")
 
@@ -141,21 +162,21 @@ def judge_files(candidates: DataFrame, judge: Judge, per_minute: float | None =
 def judge_directories(states: DataFrame, judge: Judge) -> DataFrame:
     """Decision rows of (path, state, file_count); a failed call is a row with an error, which skips nothing."""
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        for batch in batches:
+        for part in blocks(batches):
             rows = []
-            for path, text, count in zip(batch["path"], batch["state"], batch["file_count"], strict=True):
+            for path, text, count in zip(*(part.column(c).to_pylist() for c in ("path", "state", "file_count")), strict=True):
                 try:
                     found = with_retries(lambda text=text: judge.directories([json.loads(text)]))[0]
                 except CallError as error:
                     found = {"error": str(error) or type(error).__name__}
                 tokens = None if found.get("error") else found.get("input_tokens") or S.CALL_TOKENS + len(text) // S.CHARS_PER_TOKEN
-                rows.append((path, count, found.get("worth_scanning"), found.get("kind"), tokens, found.get("error")))
-            yield pd.DataFrame(rows, columns=["path", "file_count", "worth_scanning", "kind", "input_tokens", "error"])
+                rows.append({"path": path, "file_count": count, "worth_scanning": found.get("worth_scanning"), "kind": found.get("kind"), "input_tokens": tokens, "error": found.get("error")})
+            yield pa.RecordBatch.from_arrays(_columns(rows, _DECISION), list(_DECISION))
 
-    return states.select("path", "state", "file_count").mapInPandas(answer, "path string, file_count bigint, worth_scanning double, kind string, input_tokens bigint, error string")
+    return states.select("path", "state", "file_count").mapInArrow(answer, "path string, file_count bigint, worth_scanning double, kind string, input_tokens bigint, error string")
 
 
 def canary(judge: Judge) -> CallError | None:

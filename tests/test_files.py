@@ -186,6 +186,51 @@ def _rows(spark, n):
     return spark.createDataFrame([(f"/f{i}.txt", 40, 0.0, "txt", "text", f"k{i}", i, "x", False, "ok") for i in range(n)], S.CANDIDATE)
 
 
+def counting():
+    class Held(float):  # of this function, as its judge, so that they are shipped by value
+        """A number that fails when more than a block of them are held."""
+
+        alive = 0
+
+        def __init__(self, _):
+            Held.alive += 1
+            assert Held.alive <= scoring.BLOCK_ROWS + 20, Held.alive
+
+        def __del__(self):
+            Held.alive -= 1
+
+    class Counting(scoring.LocalJudge):
+        def files(self, states):
+            return [x | {"value_score": Held(int(s["path"][2:-4]) % 7)} for s, x in zip(states, super().files(states), strict=True)]
+
+        def directories(self, states):
+            return [x | {"worth_scanning": Held(int(s["path"][2:]) % 7)} for s, x in zip(states, super().directories(states), strict=True)]
+
+    return Counting()
+
+
+def test_judging_holds_a_block_of_answers(spark):
+    rows = _rows(spark, 3000).coalesce(1)
+    got = scoring.judge_files(rows, counting()).collect()
+    assert [(r["path"], r["seq"], r["value_score"]) for r in got] == [(f"/f{i}.txt", i, i % 7) for i in range(3000)]
+    dirs = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("/d"), "id").alias("path"), F.to_json(F.struct(F.concat(F.lit("/d"), "id").alias("path"))).alias("state"), F.col("id").alias("file_count"))
+    got = scoring.judge_directories(dirs, counting()).collect()
+    assert [(r["path"], r["file_count"], r["worth_scanning"]) for r in got] == [(f"/d{i}", i, i % 7) for i in range(3000)]
+
+
+def test_answers_that_lack_values_give_nulls(spark):
+    class Odd(scoring.LocalJudge):
+        def files(self, states):
+            at = int(states[0]["path"][2:-4])
+            p = [None, {"personal": 1}, {"personal": float("nan"), "value": None}, {"value": {"2": 0.5, "3": None}, "more": 1}, {"value": {}}][at]
+            return [{"probabilities": p, "value_score": [1, float("nan"), None, 0.5, 2.0][at], "input_tokens": [7, 7.0, None, float("nan"), 0][at]}]
+
+    got = sorted(scoring.judge_files(_rows(spark, 5).coalesce(1), Odd(), threads=3).collect(), key=lambda r: r["seq"])
+    assert [r["value_score"] for r in got] == [1.0, None, None, 0.5, 2.0]
+    assert [r["input_tokens"] for r in got] == [7, 7, 851, 851, 0]
+    assert [r["probabilities"] and (r["probabilities"]["personal"], r["probabilities"]["value"]) for r in got] == [None, (1.0, None), (None, None), (None, {"2": 0.5, "3": None}), (None, {})]
+
+
 def test_the_last_scan_wins(spark, tmp_path):
     log = str(tmp_path / "log")
     for value in (1.0, 2.0, 0.5):
